@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import decontaminate, exact_dedup
+    from . import decontaminate, exact_dedup, quality, toxicity
 
-    return (decontaminate, exact_dedup)
+    return (decontaminate, exact_dedup, quality, toxicity)
 
 
 def queries() -> dict:
