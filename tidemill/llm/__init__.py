@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import decontaminate, exact_dedup, quality, toxicity
+    from . import chat_format, decontaminate, exact_dedup, language_id, quality, token_counts, toxicity
 
-    return (decontaminate, exact_dedup, quality, toxicity)
+    return (decontaminate, exact_dedup, chat_format, toxicity, token_counts, quality, language_id)
 
 
 def queries() -> dict:
