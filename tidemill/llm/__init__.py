@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import chat_format, decontaminate, exact_dedup, language_id, quality, token_counts, toxicity
+    from . import chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, token_counts, toxicity
 
-    return (decontaminate, exact_dedup, chat_format, toxicity, token_counts, quality, language_id)
+    return (decontaminate, near_dedup, exact_dedup, chat_format, toxicity, token_counts, quality, language_id)
 
 
 def queries() -> dict:
