@@ -86,6 +86,18 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``span_hash`` of spans in order, in pieces of about BLOCK_BYTES cut between spans."""
+    hashes = np.empty(len(start), _U)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK_BYTES, "right")))
+        a, b = start[i], end[j - 1]
+        hashes[i:j] = span_hash(data[a:b], start[i:j] - a, end[i:j] - a)
+        i = j
+    return hashes
+
+
 def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE, fold: np.ndarray = LOWER) -> Words:
     """Words of the rows, hashed after each byte is mapped by ``fold``."""
     data = fold[data]
@@ -99,14 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE, f
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    hashes = np.empty(len(start), _U)
-    i = 0
-    while i < len(start):  # pieces of about BLOCK_BYTES, cut between words
-        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK_BYTES, "right")))
-        a, b = start[i], end[j - 1]
-        hashes[i:j] = span_hash(data[a:b], start[i:j] - a, end[i:j] - a)
-        i = j
-    return Words(hashes, row, start, end, data)
+    return Words(hash_spans(data, start, end), row, start, end, data)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
