@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, sentencepiece_sampling, token_counts, toxicity
+    from . import chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, sentencepiece_sampling, substring_dedup, token_counts, toxicity
 
-    return (decontaminate, sentencepiece_sampling, near_dedup, exact_dedup, chat_format, toxicity, token_counts, quality, language_id)
+    return (decontaminate, sentencepiece_sampling, substring_dedup, near_dedup, exact_dedup, chat_format, toxicity, token_counts, quality, language_id)
 
 
 def queries() -> dict:
