@@ -1,0 +1 @@
+"""No streaming operators: the engine's queries are batch queries, and Spark's own readers and writers serve streams."""
