@@ -29,7 +29,7 @@ def like_column(s: Column, pattern: str) -> Column:
         return s.like(pattern)
     head, tail = pattern.startswith("%"), pattern.endswith("%") and pattern != ""
     if pattern and not body:
-        return s.isNotNull()
+        return F.when(s.isNotNull(), True)
     if head and tail:
         return s.contains(body)
     if head:

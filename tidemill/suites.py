@@ -240,7 +240,7 @@ def _reuse_rebuild(t):
 @query("reuse_sql", "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderkey > 5 AND o_custkey > 3 GROUP BY 1")
 def _reuse_sql(t):
     s = session(t)
-    s.sql("SELECT o_orderpriority, count(*) AS k FROM orders WHERE o_custkey > 3 AND o_orderkey > 5 GROUP BY 1", keep=True)
+    s.sql("SELECT o_orderpriority AS o, count(*) AS k FROM orders WHERE o_custkey > 3 AND o_orderkey > 5 GROUP BY 1", keep=True)
     return s.sql("SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE 5 < o_orderkey AND o_custkey > 3 GROUP BY 1")
 
 
@@ -260,11 +260,11 @@ def _star(t):
 # the star-schema suite
 _SSB = """WITH lineorder AS (
   SELECT l_orderkey AS lo_orderkey, l_linenumber AS lo_linenumber, o_custkey AS lo_custkey, l_partkey AS lo_partkey, l_suppkey AS lo_suppkey,
-         year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS lo_orderdate, l_quantity AS lo_quantity,
+         CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INT) AS lo_orderdate, l_quantity AS lo_quantity,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS lo_extendedprice, CAST(round(l_discount * 100) AS INT) AS lo_discount,
          CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS lo_revenue
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-dates AS (SELECT DISTINCT year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS d_datekey, year(o_orderdate) AS d_year,
+dates AS (SELECT DISTINCT CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INT) AS d_datekey, CAST(year(o_orderdate) AS INT) AS d_year,
          year(o_orderdate) * 100 + month(o_orderdate) AS d_yearmonthnum FROM orders),
 cust AS (SELECT c_custkey, n_name AS c_nation, r_name AS c_region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 supp AS (SELECT s_suppkey, n_name AS s_nation, r_name AS s_region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -306,8 +306,8 @@ for _name, _text in {
     "q4": "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= DATE '1997-07-01' AND o_orderdate < DATE '1997-07-01' + INTERVAL '3' MONTH AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.05) GROUP BY o_orderpriority",
     "q5": f"SELECT n_name, CAST(sum({_DISC}) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name",
     "q6": f"SELECT CAST(sum({_EXT} * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1997-01-01' + INTERVAL '1' YEAR AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
-    "q7": f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, CAST(sum({_DISC}) AS DOUBLE) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE (n1.n_name = 'NATION_3' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_3') GROUP BY n1.n_name, n2.n_name, year(l_shipdate)",
-    "q8": f"SELECT year(o_orderdate) AS o_year, CAST(sum(CASE WHEN n2.n_name = 'NATION_3' THEN {_DISC} ELSE 0 END) AS DOUBLE) AS national, CAST(sum({_DISC}) AS DOUBLE) AS everything FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' GROUP BY year(o_orderdate)",
+    "q7": f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, CAST(sum({_DISC}) AS DOUBLE) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE (n1.n_name = 'NATION_3' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_3') GROUP BY n1.n_name, n2.n_name, year(l_shipdate)",
+    "q8": f"SELECT CAST(year(o_orderdate) AS INT) AS o_year, CAST(sum(CASE WHEN n2.n_name = 'NATION_3' THEN {_DISC} ELSE 0 END) AS DOUBLE) AS national, CAST(sum({_DISC}) AS DOUBLE) AS everything FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' GROUP BY year(o_orderdate)",
     "q10": f"SELECT c_custkey, c_name, CAST(sum({_DISC}) AS DOUBLE) AS revenue, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= DATE '1997-10-01' AND o_orderdate < DATE '1997-10-01' + INTERVAL '3' MONTH AND l_returnflag = 'R' GROUP BY c_custkey, c_name, n_name ORDER BY revenue DESC, c_custkey LIMIT 20",
     "q12": "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY l_linestatus",
     "q13": "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '5-LOW' GROUP BY c_custkey) c_orders GROUP BY c_count",
