@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, write_table
+from .shared import hide, shown, table, write_table
 
 #: Words of a window.
 WINDOW = 10
@@ -150,26 +150,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     get equal results.  Empty tables on either side give no hits.  Columns of
     ``docs`` with the names of the new ones are replaced.
     """
-    new = ("n_words", "hits", "n_hit", "items", "n_items", "contaminated")
-    columns = [c for c in docs.columns if c not in new]
+    docs, hidden = hide(docs, ("n_words", "hits", "n_hit", "items", "n_items", "contaminated"))
+    id_col, text_col = hidden[id_col], hidden[text_col]
     windows = write_table(phrase_windows(items, item_id, item_text, width), "windows")
     vocab = vocabulary(windows)
     postings = store_postings(docs, vocab, id_col, text_col)
     pairs = write_table(rarest_pairs(windows, vocab, postings), "pairs")
     cands = phrase_candidates(pairs, postings)
-    keyed = docs.select(*columns, F.xxhash64(text_col).alias("_h"))
+    keyed = docs.select("*", F.xxhash64(text_col).alias("_h"))
     joined = keyed.join(cands, (F.col("_h") == F.col("h")) & F.col(id_col).eqNullSafe(F.col("doc")), "left")
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,len:int,items:array<string>>>")
     # one evaluation of the words for all candidates of a row
     found = F.when(F.col("cands").isNull(), empty).otherwise(F.transform(F.array(words(F.col(text_col))), lambda t: _hits(t, F.col("cands")))[0])
-    out = joined.select(*columns, F.size(_raw_words(F.col(text_col))).cast("long").alias("n_words"), found.alias("hits"))
+    out = joined.select(*hidden.values(), F.size(_raw_words(F.col(text_col))).cast("long").alias("_n"), found.alias("_hits"))
+    out = out.select(*shown(hidden), F.col("_n").alias("n_words"), F.col("_hits").alias("hits"))
     out = out.withColumn("n_hit", _covered(F.col("hits"))).withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without any window of ``items``, with the columns of ``docs``."""
-    return decontaminate(docs, items, **names).filter(~F.col("contaminated")).select(*docs.columns)
+    plain, hidden = hide(docs)
+    clean = decontaminate(plain, items, hidden[id_col], hidden[text_col], **names).filter(~F.col("contaminated"))
+    return clean.select(*shown(hidden))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, write_table
+from .shared import hide, shown, table, write_table
 
 #: Bits of a block: what one aggregated bitmap holds.
 BLOCK_BITS = 32768
@@ -67,19 +67,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     points in its original text stays, then the smallest id (a null id comes
     last); of rows that repeat id and length too, the first in the input's
     files.  An empty table gives an empty table.  Columns of ``docs`` with the
-    names of the new ones are replaced; names that start with ``_`` are free
-    except ``_h _row _block _bitmap _may _len _best _key``.
+    names of the new ones are replaced; any other names may occur.
 
-    ``docs`` is read three times and should come from files.  A text that
+    ``docs`` is read four times and should come from files.  A text that
     holds a third of all rows is counted map-side and joined back as a skewed
     join that Spark splits.
     """
-    new = ("keep_id", "group_size", "kept", "text_sha256")
-    columns = [c for c in docs.columns if c not in new]
+    docs, hidden = hide(docs, ("keep_id", "group_size", "kept", "text_sha256"))
+    id_col, text_col = hidden[id_col], hidden[text_col]
     text = normalised(F.col(text_col))
-    rows = docs.select(*columns, F.monotonically_increasing_id().alias("_row"))
     made = repeat_filter(docs.select(F.xxhash64(text).alias("_h")), docs.count())
-    rows = rows.withColumn("_h", F.xxhash64(text))
+    rows = docs.select("*", F.monotonically_increasing_id().alias("_row"), F.xxhash64(text).alias("_h"))
     if made is None:
         rows = rows.withColumn("_may", F.lit(True))
     else:
@@ -89,12 +87,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows = rows.withColumn("_block", _block(blocks)).join(F.broadcast(bitmaps), "_block", "left")
         one, two = _bits()
         rows = rows.withColumn("_may", F.coalesce(_is_set(one) & _is_set(two), F.lit(False)))
-    digest = rows.select(*columns, "_row", "_may", F.sha2(text, 256).alias("text_sha256"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"))
-    out = [*columns, "keep_id", "group_size", "kept", "text_sha256"]
-    unique = digest.filter(~F.col("_may")).select(*columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    digest = rows.select(*hidden.values(), "_row", "_may", F.sha2(text, 256).alias("text_sha256"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"))
+    out = [*shown(hidden), "keep_id", "group_size", "kept", "text_sha256"]
+    unique = digest.filter(~F.col("_may")).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     may = digest.filter("_may")
     order = F.struct((-F.col("_len")).alias("l"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
     best = may.groupBy(F.col("text_sha256").alias("_key")).agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join are plain shuffles and Spark splits a text that holds many rows
+    best = write_table(best, "groups")
     repeated = (
         may.join(best, F.col("text_sha256") == F.col("_key"))
         .withColumn("keep_id", F.col("_best.i"))
@@ -105,8 +105,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns of ``docs``."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    return kept.select(*docs.columns)
+    plain, hidden = hide(docs)
+    kept = exact_dedup(plain, hidden[id_col], hidden[text_col]).filter("kept")
+    return kept.select(*shown(hidden))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     ids = ids.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("g", "i").persist()
     try:
         few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
-        rows = docs.join(few, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("g"))).select("g", F.col(text_col).alias("t")).toArrow()
+        plain = docs.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_g"), F.col(text_col).alias("t"))
+        rows = plain.join(few, (F.col("_i") == F.col("i")) & (F.col("_g") == F.col("g"))).select("g", "t").toArrow()
     finally:
         ids.unpersist()
     return fit(list(zip(rows.column("g").to_pylist(), rows.column("t").to_pylist(), strict=True)))

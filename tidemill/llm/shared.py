@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,5 +40,16 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hide(docs: DataFrame, replaced: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that clash with nothing, less those that are replaced; and the hidden name of each."""
+    hidden = {c: f"__{i}" for i, c in enumerate(x for x in docs.columns if x not in set(replaced))}
+    return docs.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items())), hidden
+
+
+def shown(hidden: dict[str, str]) -> list[Column]:
+    """The columns that ``hide`` has hidden, under their names."""
+    return [F.col(h).alias(c) for c, h in hidden.items()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
