@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linear import held_out
-from .shared import table
+from .shared import pick, table
 from .vectors import LETTERS, LOWER, Words, blocks, column, span_hash, texts, words
 
 #: Buckets of the hashed features, and most rows of each language in the sample that a model is fitted on.
@@ -266,7 +266,7 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             names_of = pa.DictionaryArray.from_arrays(pa.array(best, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), names_of, pa.array(np.clip(mean, 0, 1))], [*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(label, docs.select(*names).schema.add("lang_pred", "string").add("score", "double"))
+    return pick(docs, names).mapInArrow(label, pick(docs, names).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def word_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pick
 from .vectors import blocks, column, row_sums, texts
 
 #: Buckets of the hashed indicators; a model is one float32 for each.
@@ -103,5 +104,5 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float, float], of: Indi
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(p)], [*names, "score"])
 
-    out = docs.select(*names).schema.add("score", "double")
-    return docs.select(*names).mapInArrow(score, out)
+    rows = pick(docs, names)
+    return rows.mapInArrow(score, pick(docs, names).schema.add("score", "double"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import table
+from .shared import pick, table
 from .vectors import NOT_SPACE, SAME, Words, blocks, column, texts, words
 
 NONE = -1
@@ -143,7 +143,7 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text_col: str = "text", l
             tokens = np.bincount(w.row, weights=each, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(np.bincount(w.row, minlength=n).astype(np.int64)), pa.array(tokens)], [*names, "n_words", "n_tokens"])
 
-    return docs.select(*names).mapInArrow(count, docs.select(*names).schema.add("n_words", "long").add("n_tokens", "long"))
+    return pick(docs, names).mapInArrow(count, pick(docs, names).schema.add("n_words", "long").add("n_tokens", "long"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
