@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linear import held_out
-from .shared import pick, table
+from .shared import hide, shown, table
 from .vectors import LETTERS, LOWER, Words, blocks, column, span_hash, texts, words
 
 #: Buckets of the hashed features, and most rows of each language in the sample that a model is fitted on.
@@ -242,7 +242,8 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     as all are where nothing was learned; equal texts get equal results; an
     empty table stays empty; columns of those names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows, hidden = hide(docs, ("lang_pred", "score"))
+    names, text_col = list(hidden.values()), hidden[text_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each language
     langs = [*model.langs, UNDETERMINED]
 
@@ -266,7 +267,8 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             names_of = pa.DictionaryArray.from_arrays(pa.array(best, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), names_of, pa.array(np.clip(mean, 0, 1))], [*names, "lang_pred", "score"])
 
-    return pick(docs, names).mapInArrow(label, pick(docs, names).schema.add("lang_pred", "string").add("score", "double"))
+    schema = hide(docs, ("lang_pred", "score"))[0].schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(label, schema).select(*shown(hidden), "lang_pred", "score")
 
 
 def word_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick
+from .shared import hide, shown
 from .vectors import blocks, column, row_sums, texts
 
 #: Buckets of the hashed indicators; a model is one float32 for each.
@@ -89,8 +89,8 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float, float], of: Indi
     """
     weights, a, b = model
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS floats, whatever the input
-    schema = docs.schema
-    names = [f.name for f in schema.fields if f.name != "score"]
+    rows, hidden = hide(docs, ("score",))
+    names, text_col = list(hidden.values()), hidden[text_col]
 
     def score(batches: Iterator[pa.RecordBatch]):
         w = shared.value
@@ -104,5 +104,4 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float, float], of: Indi
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(p)], [*names, "score"])
 
-    rows = pick(docs, names)
-    return rows.mapInArrow(score, pick(docs, names).schema.add("score", "double"))
+    return rows.mapInArrow(score, hide(docs, ("score",))[0].schema.add("score", "double")).select(*shown(hidden), "score")

@@ -46,11 +46,6 @@ def hide(docs: DataFrame, replaced: Iterable[str] = ()) -> tuple[DataFrame, dict
     return docs.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items())), hidden
 
 
-def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Columns by name, whatever signs the names have."""
-    return df.select(*(F.col(f"`{c}`") for c in names))
-
-
 def shown(hidden: dict[str, str]) -> list[Column]:
     """The columns that ``hide`` has hidden, under their names."""
     return [F.col(h).alias(c) for c, h in hidden.items()]

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import pick, table
+from .shared import hide, shown, table
 from .vectors import NOT_SPACE, SAME, Words, blocks, column, texts, words
 
 NONE = -1
@@ -130,7 +130,8 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text_col: str = "text", l
     words and tokens; equal texts get equal counts; an empty table stays
     empty; columns of those names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
+    rows, hidden = hide(docs, ("n_words", "n_tokens"))
+    names, text_col = list(hidden.values()), hidden[text_col]
     shared = docs.sparkSession.sparkContext.broadcast(build(pieces))  # grows with the vocabulary only
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -143,7 +144,8 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text_col: str = "text", l
             tokens = np.bincount(w.row, weights=each, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(np.bincount(w.row, minlength=n).astype(np.int64)), pa.array(tokens)], [*names, "n_words", "n_tokens"])
 
-    return pick(docs, names).mapInArrow(count, pick(docs, names).schema.add("n_words", "long").add("n_tokens", "long"))
+    schema = hide(docs, ("n_words", "n_tokens"))[0].schema.add("n_words", "long").add("n_tokens", "long")
+    return rows.mapInArrow(count, schema).select(*shown(hidden), "n_words", "n_tokens")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,4 +143,4 @@ def ngrams(w: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(row, weights=values, minlength=n)
+    return np.bincount(row, weights=values, minlength=n).astype(np.float64)
