@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table, write_table
+from .shared import hide, shown, table, write_table
 from .vectors import NOT_SPACE, blocks, column, mix, ngrams, texts, words
 
 _U = np.uint64
 #: Bytes of text whose signatures are made at once (the arrays stay in the cache), counters of pairs, longest list that one task merges.
 SIGNATURE_BYTES, COUNTERS, LIST_ROWS = 1 << 20, 1 << 16, 4096
-#: Members of a leader that are checked in one task.
-CHECK_ROWS = 2000
+#: Documents of a cluster that are compared with as many others in one task, columns of a matrix there.
+TILE_ROWS, MATRIX_COLUMNS = 512, 4096
 #: Most probable loss of a pair that is just as similar as asked for.
 MISS = 1e-8
 
@@ -215,10 +215,12 @@ def _alike(low: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, s: Setup)
     return others[(low[others] == low[i]).sum(axis=1) >= s.matches]
 
 
-def leader_pairs(posted: DataFrame, s: Setup) -> DataFrame:
-    """Rows of kind 0: pairs (a, b) of a list's leader and a document over the match threshold.
+def list_edges(posted: DataFrame, s: Setup) -> DataFrame:
+    """(a, b), distinct: edges that connect all documents of a list that pairs over the match threshold connect.
 
-    Rows of kind 1: the postings of lists in which other pairs may match too.
+    A list's first document takes those that match it, the next that is left
+    takes its own, and so on; then only documents of different takers are
+    compared. A list gives fewer edges than it has documents.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]):
@@ -228,133 +230,139 @@ def leader_pairs(posted: DataFrame, s: Setup) -> DataFrame:
             if not (np.diff(at) > 1).any():
                 continue
             ids, n, low = column(b, "id").to_numpy(), column(b, "n").to_numpy(), _bits(b)
-            left, right, again = [], [], []
+            left, right = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                todo, found = np.arange(lo, hi), False
+                label, todo, found = np.arange(lo, hi), np.arange(lo, hi), False
                 while len(todo) > 1:
                     lead, todo = todo[0], todo[1:]
                     hit = _alike(low, n, lead, todo, s)
                     if len(hit):
                         found = True
+                        label[hit - lo] = lead
                         left.append(np.full(len(hit), ids[lead]))
                         right.append(ids[hit])
                         todo = np.setdiff1d(todo, hit, assume_unique=True)
-                if found and hi - lo > 2:
-                    again.append(np.arange(lo, hi))
+                if not found or hi - lo == 2:
+                    continue
+                while True:
+                    names, size = np.unique(label, return_counts=True)
+                    joined = False
+                    for i in lo + np.flatnonzero(label != names[size.argmax()]):
+                        others = lo + np.flatnonzero(label != label[i - lo])
+                        hit = _alike(low, n, i, others, s)
+                        if len(hit):
+                            joined = True
+                            for j in hit[np.unique(label[hit - lo], return_index=True)[1]]:
+                                left.append(ids[i : i + 1])
+                                right.append(ids[j : j + 1])
+                                label[label == label[j - lo]] = label[i - lo]
+                    if not joined:
+                        break
             if left:
                 a, c = np.concatenate(left), np.concatenate(right)
-                zero = pa.array(np.zeros(len(a), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), zero, zero, pa.nulls(len(a), pa.binary())], ["kind", "a", "b", "tile", "n", "low"])
-            if again:
-                w = pa.array(np.concatenate(again))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(w), np.int32)), column(b, "key").take(w), column(b, "id").take(w), column(b, "tile").take(w), column(b, "n").take(w), column(b, "low").take(w)], ["kind", "a", "b", "tile", "n", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = posted.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "id")
-    return write_table(dealt.mapInArrow(merge, "kind int, a long, b long, tile long, n long, low binary"), "lists")
-
-
-def cross_pairs(again: DataFrame, labels: DataFrame, s: Setup) -> DataFrame:
-    """All pairs over the match threshold in the lists of ``again`` whose documents have different labels."""
+    return write_table(dealt.mapInArrow(merge, "a long, b long").distinct(), "candidates")
+
+
+def _links(h: np.ndarray, doc: np.ndarray, n: int, s: Setup) -> np.ndarray:
+    """Of n documents with shingles (h, doc), a label each that linked ones share."""
+    size = np.bincount(doc, minlength=n)
+    _, word, count = np.unique(h, return_inverse=True, return_counts=True)
+    many = count[word] > 1  # what only one has is in no intersection
+    word, doc = np.unique(word[many], return_inverse=True)[1], doc[many]
+    shared = np.zeros((n, n), np.float32)
+    order = np.argsort(word, kind="stable")
+    word, doc = word[order], doc[order]
+    for a in range(0, int(word[-1]) + 1 if len(word) else 0, MATRIX_COLUMNS):
+        i, j = np.searchsorted(word, [a, a + MATRIX_COLUMNS])
+        m = np.zeros((n, min(MATRIX_COLUMNS, int(word[-1]) + 1 - a)), np.float32)
+        m[doc[i:j], word[i:j] - a] = 1
+        shared += m @ m.T
+    shared = shared.astype(np.int64)
+    link = (100 * shared >= s.percent * (size[:, None] + size[None, :] - shared)) & (shared > 0)
+    label = np.arange(n)
+    while True:
+        least = np.where(link, label[None, :], n).min(axis=1, initial=n)
+        new = np.minimum(label, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def confirm(clusters: DataFrame, docs: DataFrame, s: Setup) -> DataFrame:
+    """(a, b): links that connect what the links between full sets connect; ``clusters`` is (node, label, row), ``docs`` (row, text).
+
+    The texts of a cluster meet in one task, those of a large one in tiles of
+    which each two documents share one; all pairs are compared there and a
+    tile gives fewer links than it has documents.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = write_table(clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("p")), "sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
+    dealt = (
+        clusters.join(size, "label")
+        .select(F.col("node").alias("id"), "row", F.col("label").alias("key"), "p", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("other"))
+        .select("id", "row", "key", (F.least("own", "other") * F.col("p").cast("long") + F.greatest("own", "other")).alias("tile"))
+    )
+    sent = docs.hint("merge").join(dealt, "row").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "id")
 
-    def merge(batches: Iterator[pa.RecordBatch]):
+    def check(batches: Iterator[pa.RecordBatch]):
         for b in _lists(batches):
             k, t = column(b, "key").to_numpy(), column(b, "tile").to_numpy()
             at = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1, [len(k)]))
-            ids, n, low, label = column(b, "id").to_numpy(), column(b, "n").to_numpy(), _bits(b), column(b, "label").to_numpy()
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if (label[lo:hi] == label[lo]).all():
-                    continue
-                # the largest label's documents meet all others, the others each other
-                names, size = np.unique(label[lo:hi], return_counts=True)
-                rest = lo + np.flatnonzero(label[lo:hi] != names[size.argmax()])
-                every = np.arange(lo, hi)
-                left, right = [], []
-                for i in rest:
-                    others = every[label[lo:hi] != label[i]]
-                    hit = _alike(low, n, i, others, s)
-                    left.append(np.full(len(hit), ids[i]))
-                    right.append(ids[hit])
-                a, c = np.concatenate(left), np.concatenate(right)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
-
-    parts = int(again.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = again.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "tile", "id", "n", "low", F.coalesce("label", "id").alias("label"))
-    dealt = named.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "id")
-    return dealt.mapInArrow(merge, "a long, b long").distinct()
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, s: Setup) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity; ``docs`` has (id, text), each id once.
-
-    The texts of b go to the task that has a's; a document with many partners
-    is sent to several tasks, each with a part of them.
-    """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = pairs.groupBy(F.col("a").alias("id")).agg(F.ceil(F.count(F.lit(1)) / CHECK_ROWS).cast("int").alias("salts"))
-    to = pairs.join(degree, pairs.a == degree.id).select(F.col("b").alias("id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")).alias("to"))
-    own = degree.select("id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("id", F.struct(F.col("id").alias("a"), "salt", F.lit(0).alias("kind")).alias("to"))
-    goals = to.unionByName(own)
-    sent = docs.join(goals, "id").select("to.a", "to.salt", "to.kind", F.col("id").alias("b"), "text")
-    sent = sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "kind")
+            ids = column(b, "id").to_numpy()
+            sets, rows, base = [], [], 0
+            for part in blocks(iter([b]), "text", SIGNATURE_BYTES):
+                h, r = shingle_sets(*texts(column(part, "text")), s.width)
+                sets.append(h)
+                rows.append(r + base)
+                base += part.num_rows
+            h, r = np.concatenate(sets), np.concatenate(rows)
+            cut = np.searchsorted(r, at)
+            left, right = [], []
+            for g in range(len(at) - 1):
+                lo, hi = int(at[g]), int(at[g + 1])
+                if hi - lo > 1:
+                    label = _links(h[cut[g] : cut[g + 1]], r[cut[g] : cut[g + 1]] - lo, hi - lo, s)
+                    linked = np.flatnonzero(label != np.arange(hi - lo))
+                    left.append(ids[lo + label[linked]])
+                    right.append(ids[lo + linked])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]):
-        lead, mine = None, None
-        for b in blocks(batches, "text", SIGNATURE_BYTES):
-            h, r = shingle_sets(*texts(column(b, "text")), s.width)
-            at = np.searchsorted(r, np.arange(b.num_rows + 1))
-            a, kind, ids = column(b, "a").to_numpy(), column(b, "kind").to_numpy(), column(b, "b").to_numpy()
-            ok = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                own = h[at[i] : at[i + 1]]
-                if kind[i] == 0:
-                    lead, mine = a[i], own.copy()
-                elif lead == a[i] and len(mine) and len(own):
-                    j = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
-                    both = int((mine[j] == own).sum())
-                    ok[i] = 100 * both >= s.percent * (len(mine) + len(own) - both)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(ids[ok])], ["a", "b"])
-
-    return write_table(sent.mapInArrow(check, "a long, b long"), "links")
+    return write_table(sent.select("id", "key", "tile", "text").mapInArrow(check, "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, n, component) of each row of ``docs``: set size, and the smallest id that links lead to.
 
     Documents with equal sets are one class, whose smallest id stands for it
-    in the search.  First each list links its leader, then what still has
-    different labels is compared in full, so a group of near copies costs its
-    size, not its square, and no link between labels is passed over.
+    in the search.  Lists give clusters of what may be linked; in each cluster
+    the full sets are compared, and only a tree of its links is kept.
 
     Null and empty texts have no shingles and no links.  A row with a null id
     belongs to the class of its set if that has an id, else component is null.
-    Ids are integers; rows that repeat one with different texts are linked
-    through it.  ``docs`` should come from files, as ``row`` numbers its rows.
+    Ids are integers; of rows that repeat one with different texts all are
+    linked and the class of the first in the files is searched.  ``docs`` should come from files, as ``row`` numbers its rows.
     """
     signed = sign(docs, s, id_col, text_col)
     some = signed.filter(F.col("n") > 0)
     classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     named = write_table(signed.drop("sig").join(classes.filter("rep is not null"), ["s1", "s2", "n"], "left").select("id", "row", "n", "rep"), "classes")
     first = named.filter("rep = id").groupBy("rep").agg(F.min("row").alias("row"))
-    reps = write_table(signed.join(first.select("row"), "row").select("id", "n", "sig", "row"), "representatives")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    rep_text = own.join(reps.select("row", "id"), "row").select("id", "text")
+    reps = write_table(signed.hint("merge").join(first.select("row"), "row").select("id", "n", "sig", "row"), "representatives")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     counts = pair_counts(reps, s)
-    lists = leader_pairs(postings(reps, s, counts), s)
-    links = confirm(write_table(lists.filter("kind = 0").select("a", "b").distinct(), "pairs"), rep_text, s)
+    clusters = components(list_edges(postings(reps, s, counts), s))
+    links = confirm(clusters.join(reps.select(F.col("id").alias("node"), "row"), "node"), numbered, s)
     same_id = named.filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).join(reps.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct()
-    links = links.unionByName(same_id)
-    labels = components(links)
-    again = lists.filter("kind = 1").select(F.col("a").alias("key"), "tile", F.col("b").alias("id"), "n", "low")
-    more = write_table(cross_pairs(again, labels, s), "cross-pairs")
-    if not more.isEmpty():
-        more = confirm(more, rep_text, s)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    labels = components(links.unionByName(same_id))
     named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return named.select("id", "row", "n", F.coalesce("label", "rep", F.when(F.col("n") == 0, F.col("id"))).alias("component"))
 
@@ -365,10 +373,11 @@ def near_dedup(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", text
     Rows without links and rows of no group stay; of rows that repeat the
     smallest id of a group the first in the input's files stays.
     """
-    groups = write_table(near_groups(docs, s, id_col, text_col).withColumnRenamed("id", "_id"), "groups")
-    stays = groups.filter((F.col("n") > 0) & (F.col("_id") == F.col("component"))).groupBy("component").agg(F.min("row").alias("row"))
+    groups = write_table(near_groups(docs, s, id_col, text_col), "groups")
+    stays = groups.filter((F.col("n") > 0) & (F.col("id") == F.col("component"))).groupBy("component").agg(F.min("row").alias("row"))
     gone = groups.filter((F.col("n") > 0) & F.col("component").isNotNull()).join(stays.select("row"), "row", "left_anti").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*docs.columns)
+    plain, hidden = hide(docs)
+    return plain.withColumn("_row", F.monotonically_increasing_id()).hint("merge").join(gone, "_row", "left_anti").select(*shown(hidden))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
