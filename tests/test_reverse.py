@@ -40,7 +40,7 @@ def test_project_round_trip_with_a_null_key(df):
 
 
 def test_join_outputs_and_unjoin(spark):
-    # the reference unit fixture: 1000 matching rows and 10 more on the right
+    # 1000 matching rows and 10 more on the right
     a = spark.range(1000).select(F.col("id").alias("a1"), F.col("id").alias("a2"))
     b = spark.range(1010).select((1009 - F.col("id")).alias("b1"), F.col("id").alias("b2"))
     j = V.join3(a, b, F.col("a1") == F.col("b1"))
