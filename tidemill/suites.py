@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from .operators import reverse as V
 from .plans import algebra as A
 from .plans.algebra import Agg, Rel, alias, col, fn, lower
 from .plans.workload import Session, star_workload
-from .sources import load, register_views
+from .sources import TABLES, load, register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,7 +58,7 @@ def sql_query(name: str, text: str) -> None:
     """A query whose text both engines run."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir)
+        register_views(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", text)))
         return spark.sql(text)
 
     _QUERIES[name], _ORACLE[name] = run, text
