@@ -60,7 +60,21 @@ def indicators_of(sample: DataFrame, of: Indicators) -> tuple[np.ndarray, np.nda
     t = t.sort_by([("id", "ascending"), ("y", "ascending")])
     x = t.column("x").combine_chunks()
     size = np.diff(x.offsets.to_numpy())
-    return t.column("y").to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(size))), x.flatten().to_numpy().astype(np.int64)
+    return t.column("y").to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(size))), x.flatten().to_numpy()
+
+
+def bucket_counts(x: np.ndarray, at: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How many of the rows where ``use`` holds have each bucket; a few rows at a time, so that copies stay small."""
+    out = np.zeros(BUCKETS)
+    for i in range(0, len(use), 256):
+        j = min(len(use), i + 256)
+        part = x[at[i] : at[j]][np.repeat(use[i:j], np.diff(at[i : j + 1]))]
+        out += np.bincount(part, minlength=BUCKETS)
+    return out
+
+
+def row_margins(w: np.ndarray, x: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return np.array([w[x[a:b]] @ value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import BUCKETS, distinct, held_out, indicators_of, labelled_sample, platt, score_rows
+from .linear import BUCKETS, bucket_counts, distinct, held_out, indicators_of, labelled_sample, platt, row_margins, score_rows
 from .shared import table
 from .vectors import NOT_SPACE, SAME, Words, mix, ngrams, words
 
@@ -47,24 +47,25 @@ def indicators(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def log_count_ratio(y: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-    each = np.repeat(y, np.diff(at))
-    p = ALPHA + np.bincount(x[each == 1], minlength=BUCKETS)
-    q = ALPHA + np.bincount(x[each != 1], minlength=BUCKETS)
+    p = ALPHA + bucket_counts(x, at, y == 1)
+    q = ALPHA + bucket_counts(x, at, y != 1)
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(y: np.ndarray, at: np.ndarray, x: np.ndarray, value: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights of a linear model with hinge loss; each dual variable is brought to its optimum in turn.
+def dual_coordinate_descent(y: np.ndarray, at: np.ndarray, x: np.ndarray, value: np.ndarray, use: np.ndarray | None = None, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
+    """Weights of a linear model with hinge loss, fitted on the rows ``use``; each dual variable is brought to its optimum in turn.
 
     Rows weigh in inverse proportion to their class's share.
     """
+    use = np.arange(len(y)) if use is None else use
+    own = y[use]
     sign = np.where(y == 1, 1.0, -1.0)
-    upper = cost * len(y) / (2 * np.where(y == 1, max(1, (y == 1).sum()), max(1, (y != 1).sum())))
+    upper = cost * len(own) / (2 * np.where(y == 1, max(1, (own == 1).sum()), max(1, (own != 1).sum())))
     w, dual = np.zeros(BUCKETS), np.zeros(len(y))
     rng = np.random.default_rng(seed)
-    norm = np.maximum(np.add.reduceat(np.append(value**2, 0.0), at[:-1]) * (np.diff(at) > 0), 1e-9)
+    norm = np.array([max(float(value[a:b] @ value[a:b]), 1e-9) for a, b in zip(at[:-1], at[1:], strict=True)])
     for _ in range(epochs):
-        for i in rng.permutation(len(y)):
+        for i in rng.permutation(use):
             s = slice(at[i], at[i + 1])
             xi, vi = x[s], value[s]
             new = min(max(dual[i] - (sign[i] * (w[xi] @ vi) - 1) / norm[i], 0.0), upper[i])
@@ -82,16 +83,14 @@ def fit(y: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float
     if len(y) < 10 or len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS), 1.0, float(np.log(((y == 1).sum() + 1) / ((y != 1).sum() + 1)))
     r = log_count_ratio(y, at, x)
-    size = np.maximum(1, np.diff(at))
-    value = r[x] / np.sqrt(np.repeat(size, np.diff(at)))
-    row = np.repeat(np.arange(len(y)), np.diff(at))
+    value = r.astype(np.float32)[x]
+    for i in range(len(y)):
+        value[at[i] : at[i + 1]] /= np.sqrt(max(1, at[i + 1] - at[i]))
     apart = np.arange(len(y)) % 5 == 4
-    keep = ~apart[row]
-    sub = np.concatenate(([0], np.cumsum(np.diff(at)[~apart])))
-    w = dual_coordinate_descent(y[~apart], sub, x[keep], value[keep])
+    w = dual_coordinate_descent(y, at, x, value, np.flatnonzero(~apart))
     used = np.abs(w)[w != 0]
     w = (1 - BETA) * (used.mean() if len(used) else 0.0) * (w != 0) + BETA * w
-    margin = np.bincount(row, weights=w[x] * value, minlength=len(y))
+    margin = row_margins(w, x, at, value)
     return (w * r, *platt(margin[apart], y[apart]))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import BUCKETS, distinct, held_out, indicators_of, labelled_sample, platt, score_rows
+from .linear import BUCKETS, bucket_counts, distinct, held_out, indicators_of, labelled_sample, platt, score_rows
 from .shared import table
 from .vectors import ALNUM, ngrams, words
 
@@ -94,11 +94,10 @@ def counterfactuals(sample: DataFrame, groups: tuple = IDENTITY_TERMS) -> DataFr
 
 def telling(y: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Of each bucket, whether it tells the classes apart in the rows that fit the weights."""
-    row = np.repeat(np.arange(len(y)), np.diff(at))
-    use = row % 5 != 4
-    mean = (y[np.arange(len(y)) % 5 != 4] == 1).mean()
-    n = np.bincount(x[use], minlength=BUCKETS)
-    toxic = np.bincount(x[use], weights=y[row[use]] == 1, minlength=BUCKETS)
+    use = np.arange(len(y)) % 5 != 4
+    mean = (y[use] == 1).mean()
+    n = bucket_counts(x, at, use)
+    toxic = bucket_counts(x, at, use & (y == 1))
     return np.abs(toxic - n * mean) >= LEAST_DEVIATION * np.sqrt(n * mean * (1 - mean) + 1)
 
 
