@@ -260,6 +260,29 @@ def test_repeated_passages(spark, tmp_path):
     assert substring_dedup.repeated_passages(file_frame(spark, tmp_path, docs[:1])).count() == 0
 
 
+def test_passages_behind_cut_versions(spark, tmp_path):
+    """Earlier documents hold cut and edited versions, alike with nothing, of what later ones share."""
+    rng = random.Random(4)
+    say = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs, pairs = [], []
+    for g in range(20):
+        p = say(60)
+        edited = [w if k % 7 else "new" for k, w in enumerate(p)]
+        cuts = (p[:40], p[20:], p[10:50], edited)
+        docs += [(1000 + 10 * g + k, " ".join(say(50) + c + say(50))) for k, c in enumerate(cuts)]
+        pairs.append((2000 + 10 * g, 2001 + 10 * g, 2002 + 10 * g))
+        changed = [w if k != 30 else "other" for k, w in enumerate(p)]
+        docs += [(i, " ".join(say(50) + q + say(50))) for i, q in zip(pairs[-1], (p, p, changed), strict=True)]
+    spark.createDataFrame(sorted(docs), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "in_order"))
+    got = substring_dedup.repeated_passages(spark.read.parquet(str(tmp_path / "in_order"))).collect()
+    linked = defaultdict(set)
+    for r in got:
+        linked[r["id"]].add(r["other_id"])
+    for a, b, c in pairs:
+        assert a in linked[b] and linked[c] & {a, b}
+    assert {x for x in linked} == {x for p in pairs for x in p[1:]}
+
+
 # 2 SentencePiece
 TOY = [b"a", b"b", b"ab", b"ba", b" ", b" a", b"aa"]
 
