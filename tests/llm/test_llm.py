@@ -283,6 +283,17 @@ def test_passages_behind_cut_versions(spark, tmp_path):
     assert {x for x in linked} == {x for p in pairs for x in p[1:]}
 
 
+@pytest.mark.parametrize("changed", [(2,), (47,), (0,), (1, 48)])
+def test_passages_with_changed_words_at_their_ends(changed):
+    s = substring_dedup.Setup()
+    one = [f"w{k}" for k in range(50)]
+    two = [w if k not in changed else f"new{k}" for k, w in enumerate(one)]
+    x, y = (substring_dedup._shingles(*texts(pa.array([" ".join(w)])), s.width)[0] for w in (one, two))
+    alike = 100 * len({*x} & {*y}) >= s.percent * len({*x} | {*y})
+    assert substring_dedup.passages(x, y, (0, 45, 0, 45), [0], s) == ([(0, 45, 0, 45)] if alike else [])
+    assert substring_dedup.passages(x, y, (0, 45, 0, 45), [], s) == ([(0, 45, 0, 45)] if alike else [])
+
+
 # 2 SentencePiece
 TOY = [b"a", b"b", b"ab", b"ba", b" ", b" a", b"aa"]
 
