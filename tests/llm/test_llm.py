@@ -294,6 +294,18 @@ def test_passages_with_changed_words_at_their_ends(changed):
     assert substring_dedup.passages(x, y, (0, 45, 0, 45), [], s) == ([(0, 45, 0, 45)] if alike else [])
 
 
+def test_one_function_that_joins_is_enough(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
+    s, docs = substring_dedup.Setup(hashes=2), []
+    assert s.miss == pytest.approx(0.04) and substring_dedup.Setup().miss == pytest.approx(6.4e-5)
+    for g in range(100):
+        p = say(50)
+        docs += [(2 * g, " ".join(say(30) + p + say(30))), (2 * g + 1, " ".join(say(30) + [w if k != 25 else "new" for k, w in enumerate(p)] + say(30)))]
+    linked = {frozenset((r["id"], r["other_id"])) for r in substring_dedup.repeated_passages(file_frame(spark, tmp_path, docs), s).collect()}
+    assert linked <= {frozenset((2 * g, 2 * g + 1)) for g in range(100)} and len(linked) >= 90
+
+
 # 2 SentencePiece
 TOY = [b"a", b"b", b"ab", b"ba", b" ", b" a", b"aa"]
 
