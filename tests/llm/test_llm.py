@@ -204,6 +204,17 @@ def test_near_dedup_edges(spark, tmp_path):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    body = [(1, a), (1, b), (2, b + " more"), (3, c), (None, d), (None, d + " more"), (None, d)]
+    spark.createDataFrame(body, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "ids"))
+    docs = spark.read.parquet(str(tmp_path / "ids"))
+    got = sorted(((r.id, r.component) for r in near_dedup.near_groups(docs).collect()), key=repr)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (None, None), (None, None), (None, None)], key=repr)
+    kept = [tuple(r) for r in near_dedup.near_dedup(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (1, b), (3, c), (None, d)], key=repr)
+
+
 def test_thresholds():
     s = near_dedup.Setup()
     assert 28 <= s.matches <= 36 and s.prefix == 64 - s.matches + 1

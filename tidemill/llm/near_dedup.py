@@ -340,49 +340,50 @@ def confirm(clusters: DataFrame, docs: DataFrame, s: Setup) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, n, component) of each row of ``docs``: set size, and the smallest id that links lead to.
+    """(id, row, n, component, stays) of each row of ``docs``: set size, the smallest id that links lead to, whether it is the first row with that.
 
-    Documents with equal sets are one class, whose smallest id stands for it
-    in the search.  Lists give clusters of what may be linked; in each cluster
-    the full sets are compared, and only a tree of its links is kept.
+    Documents with equal sets are one class, whose first row stands for it in
+    the search, whatever the ids.  Lists give clusters of what may be linked;
+    in each cluster the full sets are compared, and only a tree of its links
+    is kept.
 
-    Null and empty texts have no shingles and no links.  A row with a null id
-    belongs to the class of its set if that has an id, else component is null.
-    Ids are integers; of rows that repeat one with different texts all are
-    linked and the class of the first in the files is searched.  ``docs`` should come from files, as ``row`` numbers its rows.
+    Null and empty texts have no shingles and no links, and stay.  A row with
+    a null id has the component of its group if an id is in that, else null.
+    Rows that repeat an id are documents of their own.
+    ``docs`` should come from files, as ``row`` numbers its rows.
     """
     signed = sign(docs, s, id_col, text_col)
-    some = signed.filter(F.col("n") > 0)
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    named = write_table(signed.drop("sig").join(classes.filter("rep is not null"), ["s1", "s2", "n"], "left").select("id", "row", "n", "rep"), "classes")
-    first = named.filter("rep = id").groupBy("rep").agg(F.min("row").alias("row"))
-    reps = write_table(signed.hint("merge").join(first.select("row"), "row").select("id", "n", "sig", "row"), "representatives")
+    classes = signed.filter(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"))
+    named = write_table(signed.drop("sig").join(classes, ["s1", "s2", "n"], "left").select("id", "row", "n", "rep"), "classes")
+    reps = write_table(signed.hint("merge").join(named.filter("rep = row").select("row"), "row").select(F.col("row").alias("id"), "n", "sig"), "representatives")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     counts = pair_counts(reps, s)
     clusters = components(list_edges(postings(reps, s, counts), s))
-    links = confirm(clusters.join(reps.select(F.col("id").alias("node"), "row"), "node"), numbered, s)
-    same_id = named.filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).join(reps.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct()
-    labels = components(links.unionByName(same_id))
-    named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    return named.select("id", "row", "n", F.coalesce("label", "rep", F.when(F.col("n") == 0, F.col("id"))).alias("component"))
+    labels = components(confirm(clusters.withColumn("row", F.col("node")), numbered, s))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    own = named.filter("rep is not null").groupBy("rep").agg(first.alias("first"))
+    own = own.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "first", F.coalesce("label", "rep").alias("label"))
+    led = own.join(own.groupBy("label").agg(F.min("first").alias("lead")), "label").select("rep", F.col("lead.id").alias("component"), F.col("lead.row").alias("lead"))
+    empty = F.col("n") == 0
+    return named.join(led, "rep", "left").select("id", "row", "n", F.when(empty, F.col("id")).otherwise(F.col("component")).alias("component"), (empty | (F.col("row") == F.col("lead"))).alias("stays"))
 
 
 def near_dedup(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of each group the one with the smallest id.
 
     Rows without links and rows of no group stay; of rows that repeat the
-    smallest id of a group the first in the input's files stays.
+    smallest id of a group, and of a group without ids, the first in the
+    input's files stays.
     """
     groups = write_table(near_groups(docs, s, id_col, text_col), "groups")
-    stays = groups.filter((F.col("n") > 0) & (F.col("id") == F.col("component"))).groupBy("component").agg(F.min("row").alias("row"))
-    gone = groups.filter((F.col("n") > 0) & F.col("component").isNotNull()).join(stays.select("row"), "row", "left_anti").select(F.col("row").alias("_row"))
+    gone = groups.filter(~F.col("stays")).select(F.col("row").alias("_row"))
     plain, hidden = hide(docs)
     return plain.withColumn("_row", F.monotonically_increasing_id()).hint("merge").join(gone, "_row", "left_anti").select(*shown(hidden))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"), Setup(width=2))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("stays")).alias("kept"))
 
 
 QUERIES = {"op4_near_dedup": op4_near_dedup}
