@@ -354,6 +354,21 @@ def test_draws_are_without_replacement_and_fair():
     assert abs(sum(total[k] * v for k, v in {k: 1 for k in prob}.items()) / n - sum(1 for _ in prob)) < 2.5  # each counts 1 on average
 
 
+def test_pieces_of_several_spaces_are_drawn():
+    spelled = [b"", b"a", b" ", b" a", b"  ", b"   ", b"  a"]
+    p = sentencepiece_sampling.make_pieces(spelled, {w: i for i, w in enumerate(spelled) if w}, np.full(256, sentencepiece_sampling.NONE, np.int64))
+    for text in (b"a   a", b"  a  ", b"a a"):
+        ways = [1]
+        for e in range(1, len(text) + 1):
+            ways.append(sum(ways[e - len(w)] for w in spelled if w and text[:e].endswith(w)))
+        data = np.frombuffer(text, np.uint8)
+        draws = sentencepiece_sampling.sample_block(sentencepiece_sampling.Lattices(p), data, np.array([0, len(data)]), np.array([5], np.uint64), 40)[0]
+        assert len(draws) == ways[-1]
+    real = sentencepiece_sampling.load_pieces()
+    spaces = {i for i, x in enumerate(real.spelled) if b" " in x[1:]}
+    assert spaces and spaces <= set(real.piece_of.tolist())
+
+
 def test_encode_and_decode(spark, tmp_path):
     docs, body = odd_docs(spark, tmp_path)
     pieces = sentencepiece_sampling.load_pieces()
