@@ -81,3 +81,31 @@ def test_inversion():
         assert back is not None and A.columns_of(back) == set()
     assert A.invert(c("x") + c("x"), "x", c("y")) is None and A.invert(c("x") * 0, "x", c("y")) is None
     assert A.invert(fn("abs", c("x")), "x", c("y")) is None
+
+
+def test_clauses_are_distributed_and_negations_pushed_down():
+    x, y, z = (col(n).eq(1) for n in "xyz")
+    assert set(A.normal_clauses(x | (y & z))) == {x | y, x | z}
+    assert set(A.normal_clauses(~(x | ~y))) == {~x, y}
+    assert A.normal_clauses(~(x & y)) == [~x | ~y]
+    wide = x & y
+    for i in range(8):
+        wide = wide | (col(f"a{i}").eq(1) & col(f"b{i}").eq(2))
+    assert A.normal_clauses(wide) == [wide]  # 512 clauses are too many
+
+
+def test_equal_terms_in_any_order_have_one_form():
+    """Eight uses of a table, of which the conjuncts tell all apart: no order of them has to be tried."""
+    columns = {"e": ("e_a", "e_b")}
+    uses = [A.alias(Rel("e"), f"u{i}", ["e_a", "e_b"]) for i in range(8)]
+
+    def chain(order):
+        q = uses[order[0]]
+        for i in order[1:]:
+            q = A.Product(q, uses[i])
+        p = col("u0_e_a").eq(7)
+        for i in range(7):
+            p = p & col(f"u{i}_e_b").eq(col(f"u{i + 1}_e_a"))
+        return q.where(p).keep("u7_e_b")
+
+    assert normal(chain(list(range(8))), columns).key == normal(chain([3, 7, 1, 0, 6, 2, 5, 4]), columns).key

@@ -19,8 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Whether an operator's input can be rebuilt from its outputs.
-REVERSIBLE = {"select": True, "project": True, "limit": True, "drop": True, "union": True, "product": True, "join": True, "group": False, "sort": False}
+#: Whether an operator's input can be rebuilt from its outputs; the planner asks for complements of these only.
+REVERSIBLE = {"select": True, "project": True, "limit": True, "drop": True, "union": True, "product": True, "join": True, "group": False, "distinct": False, "sort": False}
 
 
 class JoinOutputs(NamedTuple):
@@ -85,7 +85,11 @@ def unproject(proj: DataFrame, complement: DataFrame, key: list[str], recover: d
 
 
 def join3(left: DataFrame, right: DataFrame, p: Column) -> JoinOutputs:
-    """Join and both antijoins; only those that are read are computed."""
+    """Join and both antijoins; only those that are read are computed.
+
+    They are three joins of the same inputs: two that are read in one query
+    share the shuffles of their inputs, as Spark reuses equal exchanges.
+    """
     return JoinOutputs(left.join(right, p), left.join(right, p, "left_anti"), right.join(left, p, "left_anti"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,16 @@ from pyspark.sql import types as T
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+def shared_root(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or a temporary one if all runs in this process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemill-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table; filters and columns are pushed down to the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

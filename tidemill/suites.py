@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +14,7 @@ from .operators import reverse as V
 from .plans import algebra as A
 from .plans.algebra import Agg, Rel, alias, col, fn, lower
 from .plans.workload import Session, star_workload
-from .sources import TABLES, load, register_views
+from .sources import TABLES, load, register_views, shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -193,9 +191,7 @@ query("rt_unjoin_right", "SELECT * FROM customer")(
 
 # reuse
 def session(t: Tables, budget: int | None = None) -> Session:
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/tidemill-store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemill-store-")
-    s = Session(t.spark, root, budget)
+    s = Session(t.spark, shared_root(t.spark, "tidemill-store"), budget)
     for name, keys in KEYS.items():
         s.register(name, getattr(t, name), keys)
     return s
@@ -245,17 +241,80 @@ def _reuse_sql(t):
     return s.sql("SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE 5 < o_orderkey AND o_custkey > 3 GROUP BY 1")
 
 
-@query("workload_star", "SELECT count(*) AS n FROM range(1000)")
+def _with_counts(df: DataFrame, reports) -> DataFrame:
+    """A result beside what the session did: results that were there, joins on kept joins, joins that ran, relations rebuilt and given up."""
+    counts = {"reused": sum(r.reused for r in reports), "views": sum(r.views for r in reports), "joins": sum(r.joins for r in reports), "rebuilt": sum(r.rebuilt for r in reports), "evicted": sum(r.evicted for r in reports)}
+    return df.withColumns({k: F.lit(v) for k, v in counts.items()})
+
+
+@query("reuse_budget_half", "SELECT o_orderkey, o_totalprice, 3 AS reused, 0 AS views, 0 AS joins, 0 AS rebuilt, 1 AS evicted FROM orders WHERE o_totalprice < 100000 OR o_totalprice >= 400000")
+def _reuse_half(t):
+    """Three selections of which two fit: the third takes the place of the one that was not asked for again."""
+    parts = [O.where(p).keep("o_orderkey", "o_totalprice") for p in ((c("o_totalprice") < 100000.0) | (c("o_totalprice") >= 400000.0), c("o_totalprice").between(100000.0, 250000.0), c("o_totalprice").between(250000.0, 399999.0))]
+    first = session(t)
+    first.run(parts)
+    sizes = [first.store.entries[first.planner.key(q)].pages for q in parts]
+    s = session(t, sizes[0] + max(sizes[1:]))
+    reports = s.run([parts[0], parts[1], parts[0], parts[2], parts[2], parts[0]])
+    return _with_counts(s.query(parts[0]), reports)
+
+
+@query("reuse_mixed_sql", "SELECT o_orderkey, c_name, 1 AS reused, 0 AS views, 1 AS joins, 0 AS rebuilt, 0 AS evicted FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000")
+def _reuse_mixed(t):
+    """SQL and algebra share the store: what one keeps the other reads."""
+    s = session(t)
+    q = O.join(C, c("o_custkey").eq(c("c_custkey"))).where(c("o_totalprice") > 350000.0).keep("o_orderkey", "c_name")
+    reports = s.run(["SELECT c_name AS name, o_orderkey AS id FROM customer, orders WHERE 350000.0D < o_totalprice AND c_custkey = o_custkey", q])
+    return _with_counts(s.query(q), reports)
+
+
+@query("reuse_larger_join", "SELECT c_name, o_orderkey, l_linenumber, 0 AS reused, 1 AS views, 1 AS joins, 0 AS rebuilt, 0 AS evicted FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45")
+def _reuse_larger(t):
+    """A kept join serves a larger one that was written in another order."""
+    s = session(t)
+    q = C.join(L, A.Lit(True).eq(A.Lit(True))).join(O, c("c_custkey").eq(c("o_custkey")) & c("l_orderkey").eq(c("o_orderkey"))).where(c("l_quantity") > 45.0).keep("c_name", "o_orderkey", "l_linenumber")
+    reports = s.run([O.join(C, c("o_custkey").eq(c("c_custkey"))), q])
+    return _with_counts(s.query(q), reports)
+
+
+@query("reuse_evict", "SELECT *, 0 AS reused, 0 AS views, 0 AS joins, 1 AS rebuilt, 0 AS evicted FROM orders")
+def _reuse_evict(t):
+    """A base table is given up after its join and antijoin are kept, and a query that asks for it gets it rebuilt."""
+    s = session(t)
+    s.run([O.join(C, c("o_custkey").eq(c("c_custkey")))], complements=True)
+    s.planner.forget_table("orders")
+    return _with_counts(s.query(O), [s.step(O)[0]])
+
+
+@query("distinct_algebra", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders")
+def _distinct_algebra(t):
+    return t(A.Distinct(O.keep("o_orderpriority", "o_orderstatus")))
+
+
+algebra("in_subquery_algebra", A.in_query(c("c_custkey"), O.where(c("o_totalprice") > 300000.0).keep("o_custkey"), "o_custkey", C).keep("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+algebra("scalar_subquery_algebra", A.with_scalar(P, P.select(p_other=c("p_size")).group((), mean=Agg("avg", c("p_other")))).where(c("p_size") > c("mean")).keep("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part WHERE p_size > (SELECT avg(p_size) FROM part)")
+algebra("date_interval_algebra", L.where((c("l_shipdate") <= fn("interval", fn("date", "1998-12-01"), "-'90' DAY")) & (c("l_shipdate") >= fn("interval", fn("date", "1997-12-31"), "'1' MONTH"))).keep("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '90' DAY AND l_shipdate >= DATE '1997-12-31' + INTERVAL '1' MONTH")
+
+
+_STAR = {"customer": ("c", "o_custkey = c_custkey"), "lineitem": ("l", "o_orderkey = l_orderkey")}
+
+
+@query("workload_star", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
 def _star(t):
-    s = Session(t.spark, session(t).store.root + "-star", 2000)
-    names = [f"g{i}" for i in range(1, 7)]
-    hub, spokes = names[0], names[1:]
-    s.register(hub, t.spark.range(1000).select(F.col("id").alias(f"{hub}_id"), *(F.col("id").alias(f"{hub}_{x}") for x in spokes)), ((f"{hub}_id",),), 1000)
-    for x in spokes:
-        s.register(x, t.spark.range(1000).select(F.col("id").alias(f"{x}_id"), F.col("id").alias(f"{x}_{hub}")), ((f"{x}_id",), (f"{x}_{hub}",)), 1000)
-    work = star_workload(hub, spokes, 4, 4)
-    s.run(work)
-    return s.query(work[-1]).agg(F.count(F.lit(1)).alias("n"))
+    """Ten star joins over whole tables: a hub of the lines and their orders, a spoke exchanged each time; then groups over the last."""
+    s = session(t, None)
+    line = s.planner.tables["lineitem"].select(*(f"l_{x}" for x in ("orderkey", "linenumber", "partkey", "suppkey")))
+    hub = line.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("hub_id"), "o_orderstatus", "o_orderpriority", F.col("l_partkey").alias("hub_part"), F.col("l_suppkey").alias("hub_supplier"), F.col("o_custkey").alias("hub_customer"), F.col("l_orderkey").alias("hub_order"), F.dayofmonth("o_orderdate").alias("hub_day")
+    )
+    s.register("hub", hub, (("hub_id",),))
+    spokes = {"part": t.part.select(F.col("p_partkey")), "customer": t.customer.select(F.col("c_custkey")), "supplier": t.supplier.select(F.col("s_suppkey")), "order": t.orders.select(F.col("o_orderkey")), "day": t.spark.range(1, 32).select(F.col("id").cast("int"))}
+    for name, df in spokes.items():
+        s.register(name, df.toDF(f"{name}_hub"), ((f"{name}_hub",),))
+    work = star_workload("hub", list(spokes), 3, 10)
+    last = work[-1].group((c("o_orderstatus"), c("o_orderpriority")), o_orderstatus=c("o_orderstatus"), o_orderpriority=c("o_orderpriority"), n=Agg("count"))
+    s.run([*work, last])
+    return s.query(last)
 
 
 # the star-schema suite
@@ -298,6 +357,34 @@ for _name, _text in {
 }.items():
     sql_query(f"ssb_{_name}", _SSB + _text)
 
+
+def ssb_session(t: Tables, share: float | None, names: tuple[str, ...]) -> tuple[Session, list]:
+    """A session with the star-schema queries run in order, under a share of the base tables' pages."""
+    s = session(t)
+    if share is not None:
+        s.store.budget = int(share * sum(s.planner.table_pages[n] for n in ("lineitem", "orders", "customer", "supplier", "part")))
+    return s, [s.step(_ORACLE[f"ssb_{n}"])[0] for n in names]
+
+
+#: The workload of 30 queries that alternates between two joins of three tables, and each query of the suite twice.
+ALTERNATING = ("stress_a", "stress_b") * 15
+SUITE = tuple(n.removeprefix("ssb_") for n in _ORACLE if n.startswith("ssb_")) * 2
+
+
+def _counts_sql(names: tuple[str, ...]) -> str:
+    counted = "\nUNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM ({_ORACLE[f'ssb_{n}']}) AS q" for n in sorted(set(names)))
+    steps = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    return f"SELECT step, s.name, n FROM (VALUES {steps}) AS s(step, name) JOIN ({counted}) AS c ON s.name = c.name"
+
+
+for _kind, _names, _share in (("alternating", ALTERNATING, None), ("alternating", ALTERNATING, 0.5), ("alternating", ALTERNATING, 0.1), ("suite", SUITE, None), ("suite", SUITE, 0.5)):
+    _label = {None: "unlimited", 0.5: "half", 0.1: "tenth"}[_share]
+
+    @query(f"ssb_workload_{_kind}_{_label}", _counts_sql(_names))
+    def _ssb_workload(t, names=_names, share=_share):
+        _, reports = ssb_session(t, share, names)
+        return t.spark.createDataFrame([(i, n, r.rows) for i, (n, r) in enumerate(zip(names, reports, strict=True))], "step int, name string, n long")
+
 # TPC-H-like
 _EXT = "CAST(l_extendedprice AS DECIMAL(18,2))"
 _DISC = f"{_EXT} * (1 - CAST(l_discount AS DECIMAL(4,2)))"
@@ -321,3 +408,7 @@ for _name, _text in {
     "q22": "SELECT c_nationkey, count(*) AS numcust, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY c_nationkey",
 }.items():
     sql_query(f"tpch_{_name}", _text)
+
+for _name in [n for n in _ORACLE if n.startswith("tpch_")]:
+    # the same texts through a session: parsed to the algebra, kept, and read back
+    query(f"session_{_name}", _ORACLE[_name])(lambda t, name=_name: session(t).step(_ORACLE[name])[1])
