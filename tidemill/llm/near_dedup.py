@@ -19,14 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import hide, shown, table, write_table
+from .shared import drop_table, hide, marked, numbered, shown, table, write_table
 from .vectors import NOT_SPACE, blocks, column, mix, ngrams, texts, words
 
 _U = np.uint64
-#: Bytes of text whose signatures are made at once (the arrays stay in the cache), counters of pairs, longest list that one task merges.
-SIGNATURE_BYTES, COUNTERS, LIST_ROWS = 1 << 20, 1 << 16, 4096
-#: Documents of a cluster that are compared with as many others in one task, columns of a matrix there.
-TILE_ROWS, MATRIX_COLUMNS = 512, 4096
+#: Bytes of text whose signatures are made at once (the arrays stay in the cache), length from which a list is dealt out in tiles.
+SIGNATURE_BYTES, LIST_ROWS = 1 << 20, 4096
+#: Counters of pairs: they order the pairs by rarity, and any order is exact, so they need not grow.
+COUNTER_BITS = 18
+#: Long lists up to this many are broadcast; more are joined to the postings by a shuffle.
+MAX_BROADCAST_LISTS = 200_000
+#: Documents and shingles of a cluster that are compared with as many others in one task, columns of a matrix there.
+TILE_ROWS, TILE_SHINGLES, MATRIX_COLUMNS = 512, 2 << 20, 4096
 #: Most probable loss of a pair that is just as similar as asked for.
 MISS = 1e-8
 
@@ -94,9 +98,8 @@ def mix_fast(h: np.ndarray, odd: np.uint64) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def sign(docs: DataFrame, s: Setup, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, n, s1, s2, sig) of each document, written in the shared folder: set size, set hash, signature bytes."""
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+def sign(rows: DataFrame, s: Setup) -> DataFrame:
+    """(id, row, n, s1, s2, sig) of each of ``rows`` (id, row, text), written in the shared folder: set size, set hash, signature bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]):
         for b in blocks(batches, "text", SIGNATURE_BYTES):
@@ -119,75 +122,103 @@ def _keys(sig: pa.Array, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(v + np.arange(coordinates, dtype=_U) * _U(0x9E3779B97F4A7C15)), low[:, 0::2] << 4 | low[:, 1::2]
 
 
+def _counter(key: np.ndarray) -> np.ndarray:
+    return (key >> _U(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def pair_counts(signed: DataFrame, s: Setup) -> np.ndarray:
-    """How many pairs fall on each of COUNTERS counters: a size that does not depend on the input."""
+    """How many pairs fall on each counter: a size that does not depend on the input."""
+    counters = 1 << COUNTER_BITS
 
     def count(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int64)
         for b in batches:
             if b.num_rows:
                 k, _ = _keys(b.column(0), s.coordinates)
-                total += np.bincount((k >> _U(48)).astype(np.int64).ravel(), minlength=COUNTERS)
+                total += np.bincount(_counter(k).ravel(), minlength=counters)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["k", "n"])
 
     t = signed.select("sig").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(counters, np.int64)
     out[t.column("k").to_numpy()] = t.column("n").to_numpy()
     return out
 
 
+def _prefix(sig: pa.Array, counts: np.ndarray, s: Setup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document the keys of its rarest pairs, their counters' totals, and the four-bit values."""
+    k, low = _keys(sig, s.coordinates)
+    n = counts[_counter(k)]
+    order = np.lexsort((k, n), axis=1)[:, : s.prefix]
+    return np.take_along_axis(k, order, 1), np.take_along_axis(n, order, 1), low
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, rows):
+            yield whole.slice(i, rows)
+
+
+def long_lists(reps: DataFrame, s: Setup, counts: np.ndarray) -> DataFrame:
+    """(key, p), written: the keys of lists over LIST_ROWS and the number of parts that each is dealt out in.
+
+    Lengths are counted, so a list is cut only if it is long.  Only keys whose
+    counter is over LIST_ROWS can be; where documents are so many that all
+    counters are, that is a row for each posting, before any is sent.
+    """
+    shared = reps.sparkSession.sparkContext.broadcast(counts)
+
+    def post(batches: Iterator[pa.RecordBatch]):
+        for b in _slices(batches):
+            key, n, _ = _prefix(b.column(0), shared.value, s)
+            yield pa.RecordBatch.from_arrays([pa.array(key[n > LIST_ROWS].view(np.int64))], ["key"])
+
+    n = F.count(F.lit(1))
+    return write_table(reps.select("sig").mapInArrow(post, "key long").groupBy("key").agg(n.alias("n")).filter(F.col("n") > LIST_ROWS).select("key", F.ceil(F.col("n") / LIST_ROWS).cast("long").alias("p")), "long-lists")
+
+
 def postings(reps: DataFrame, s: Setup, counts: np.ndarray) -> DataFrame:
     """(key, tile, id, n, low): each document under the rarest pairs of its signature.
 
-    A list that may be over LIST_ROWS is dealt out in tiles, so that each two
-    of its documents meet in one tile.
+    A list over LIST_ROWS is dealt out in tiles, so that each two of its
+    documents meet in one tile; all others are sent once.
     """
     shared = reps.sparkSession.sparkContext.broadcast(counts)
 
     def post(batches: Iterator[pa.RecordBatch]):
-        c = shared.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 4096):
-                b = whole.slice(i, 4096)
-                k, low = _keys(column(b, "sig"), s.coordinates)
-                n = c[(k >> _U(48)).astype(np.int64)]
-                order = np.lexsort((k, n), axis=1)[:, : s.prefix]
-                key = np.take_along_axis(k, order, 1)
-                parts = -(-np.take_along_axis(n, order, 1) // LIST_ROWS)
-                ids = np.arange(b.num_rows)
-                own = (mix(np.ascontiguousarray(column(b, "id").to_numpy()).astype(np.int64).view(_U) + _U(0)) >> _U(1)).astype(np.int64)
-                doc = np.repeat(ids, s.prefix)
-                key, parts = key.ravel(), parts.ravel()
-                times = parts
-                doc, key_all = np.repeat(doc, times), np.repeat(key, times)
-                p = np.repeat(parts, times)
-                other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                mine = own[doc] % p
-                tile = np.minimum(mine, other) * p + np.maximum(mine, other)
-                bits = pa.Array.from_buffers(pa.binary(low.shape[1]), len(low), [None, pa.py_buffer(np.ascontiguousarray(low).tobytes())]).cast(pa.binary())
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key_all.view(np.int64)), pa.array(tile), column(b, "id").take(at), column(b, "n").take(at), bits.take(at)], ["key", "tile", "id", "n", "low"])
-
-    return reps.select("id", "n", "sig").mapInArrow(post, "key long, tile long, id long, n long, low binary")
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole lists of sorted postings, several to a batch; a list has at most two parts of LIST_ROWS or so."""
+        for b in _slices(batches):
+            key, _, low = _prefix(column(b, "sig"), shared.value, s)
+            bits = pa.Array.from_buffers(pa.binary(low.shape[1]), len(low), [None, pa.py_buffer(np.ascontiguousarray(low).tobytes())]).cast(pa.binary())
+            at = pa.array(np.repeat(np.arange(b.num_rows), s.prefix))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), column(b, "id").take(at), column(b, "n").take(at), bits.take(at)], ["key", "id", "n", "low"])
+
+    posted = reps.select("id", "n", "sig").mapInArrow(post, "key long, id long, n long, low binary")
+    cut = long_lists(reps, s, counts)
+    if cut.isEmpty():
+        return posted.withColumn("tile", F.lit(0).cast("long"))
+    met = posted.join(F.broadcast(cut) if cut.count() <= MAX_BROADCAST_LISTS else cut, "key", "left")
+    return _dealt(met.withColumn("p", F.coalesce("p", F.lit(1).cast("long"))), "id", "key", "n", "low")
+
+
+def _dealt(rows: DataFrame, own: str, *others: str) -> DataFrame:
+    """``rows`` in each of the tiles that their part of ``p`` takes part in: tile numbers a pair of parts."""
+    mine, other, p = F.pmod(F.xxhash64(own), F.col("p")), F.col("other"), F.col("p")
+    each = rows.select(own, *others, "p", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), p - 1)).alias("other"))
+    return each.select(own, *others, (F.least("mine", other) * p + F.greatest("mine", other)).alias("tile"))
+
+
+def _lists(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("key", "tile")) -> Iterator[pa.RecordBatch]:
+    """Whole lists of rows that are sorted by integers ``by``, several to a batch; a list has at most two parts of LIST_ROWS or so."""
     rest: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        k = column(b, "key").to_numpy()
-        t = column(b, "tile").to_numpy()
-        cut = np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1
-        if rest:
-            r = rest[-1]
-            if column(r, "key")[-1].as_py() != k[0] or column(r, "tile")[-1].as_py() != t[0]:
-                yield _joined(rest)
-                rest = []
-        if len(cut):
-            last = int(cut[-1])
+        at = _starts(b, by)
+        if rest and any(column(rest[-1], n)[-1].as_py() != column(b, n)[0].as_py() for n in by):
+            yield _joined(rest)
+            rest = []
+        if len(at) > 1:
+            last = int(at[-1])
             yield _joined([*rest, b.slice(0, last)])
             rest = [b.slice(last)]
         else:
@@ -196,6 +227,16 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _joined(rest)
 
 
+def _starts(b: pa.RecordBatch, by: tuple[str, ...] = ("key", "tile")) -> np.ndarray:
+    """Where a list begins."""
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for n in by:
+        x = column(b, n).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
 
@@ -225,8 +266,7 @@ def list_edges(posted: DataFrame, s: Setup) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]):
         for b in _lists(batches):
-            k, t = column(b, "key").to_numpy(), column(b, "tile").to_numpy()
-            at = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1, [len(k)]))
+            at = np.append(_starts(b), b.num_rows)
             if not (np.diff(at) > 1).any():
                 continue
             ids, n, low = column(b, "id").to_numpy(), column(b, "n").to_numpy(), _bits(b)
@@ -295,27 +335,24 @@ def _links(h: np.ndarray, doc: np.ndarray, n: int, s: Setup) -> np.ndarray:
         label = new
 
 
-def confirm(clusters: DataFrame, docs: DataFrame, s: Setup) -> DataFrame:
-    """(a, b): links that connect what the links between full sets connect; ``clusters`` is (node, label, row), ``docs`` (row, text).
+def confirm(clusters: DataFrame, reps: DataFrame, docs: DataFrame, s: Setup) -> DataFrame:
+    """(a, b): links that connect what the links between full sets connect; ``clusters`` is (node, label), ``reps`` (id, n), ``docs`` (row, text).
 
-    The texts of a cluster meet in one task, those of a large one in tiles of
-    which each two documents share one; all pairs are compared there and a
-    tile gives fewer links than it has documents.
+    Only the texts of clusters are sent.  Those of a cluster meet in one task,
+    those of a large one in tiles of which each two documents share one; all
+    pairs are compared there and a tile gives fewer links than it has documents.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = write_table(clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("p")), "sizes")
-    own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
-    dealt = (
-        clusters.join(size, "label")
-        .select(F.col("node").alias("id"), "row", F.col("label").alias("key"), "p", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("other"))
-        .select("id", "row", "key", (F.least("own", "other") * F.col("p").cast("long") + F.greatest("own", "other")).alias("tile"))
-    )
-    sent = docs.hint("merge").join(dealt, "row").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "id")
+    member = write_table(clusters.join(reps.select(F.col("id").alias("node"), "n"), "node").select(F.col("node").alias("row"), F.col("label").alias("key"), "n"), "members")
+    most = F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES)
+    size = write_table(member.groupBy("key").agg(F.ceil(most).cast("long").alias("p")), "sizes")
+    dealt = _dealt(member.select("row", "key").join(size, "key"), "row", "key")
+    some = marked(docs, member.select("row"), "_in", "row").filter("_in").drop("_in")
+    sent = some.hint("merge").join(dealt, "row").withColumnRenamed("row", "id").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "id")
 
     def check(batches: Iterator[pa.RecordBatch]):
         for b in _lists(batches):
-            k, t = column(b, "key").to_numpy(), column(b, "tile").to_numpy()
-            at = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1, [len(k)]))
+            at = np.append(_starts(b), b.num_rows)
             ids = column(b, "id").to_numpy()
             sets, rows, base = [], [], 0
             for part in blocks(iter([b]), "text", SIGNATURE_BYTES):
@@ -343,23 +380,26 @@ def near_groups(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", tex
     """(id, row, n, component, stays) of each row of ``docs``: set size, the smallest id that links lead to, whether it is the first row with that.
 
     Documents with equal sets are one class, whose first row stands for it in
-    the search, whatever the ids.  Lists give clusters of what may be linked;
-    in each cluster the full sets are compared, and only a tree of its links
-    is kept.
+    the search, whatever the ids, which may be of any type that has an order.
+    Lists give clusters of what may be linked; in each cluster the full sets
+    are compared, and only a tree of its links is kept.
 
     Null and empty texts have no shingles and no links, and stay.  A row with
     a null id has the component of its group if an id is in that, else null.
-    Rows that repeat an id are documents of their own.
+    Rows that repeat an id are documents of their own.  An empty table gives
+    no rows; other columns do not matter.
     ``docs`` should come from files, as ``row`` numbers its rows.
     """
-    signed = sign(docs, s, id_col, text_col)
+    plain, _, (i, t) = hide(docs, (), id_col, text_col)
+    rows = numbered(plain, "row").select(F.col(i).alias("id"), "row", F.col(t).alias("text"))
+    signed = sign(rows, s)
     classes = signed.filter(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"))
     named = write_table(signed.drop("sig").join(classes, ["s1", "s2", "n"], "left").select("id", "row", "n", "rep"), "classes")
-    reps = write_table(signed.hint("merge").join(named.filter("rep = row").select("row"), "row").select(F.col("row").alias("id"), "n", "sig"), "representatives")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    counts = pair_counts(reps, s)
-    clusters = components(list_edges(postings(reps, s, counts), s))
-    labels = components(confirm(clusters.withColumn("row", F.col("node")), numbered, s))
+    reps = write_table(marked(signed.drop("id"), named.filter("rep = row").select("row"), "_in", "row").filter("_in").select(F.col("row").alias("id"), "n", "sig"), "representatives")
+    drop_table(signed)
+    clusters = components(list_edges(postings(reps, s, pair_counts(reps, s)), s))
+    labels = components(confirm(clusters, reps, rows.select("row", "text"), s))
+    drop_table(reps)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     own = named.filter("rep is not null").groupBy("rep").agg(first.alias("first"))
     own = own.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "first", F.coalesce("label", "rep").alias("label"))
@@ -371,17 +411,18 @@ def near_groups(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", tex
 def near_dedup(docs: DataFrame, s: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of each group the one with the smallest id.
 
-    Rows without links and rows of no group stay; of rows that repeat the
-    smallest id of a group, and of a group without ids, the first in the
-    input's files stays.
+    Rows without links and rows of no group stay, null and empty texts among
+    them; of rows that repeat the smallest id of a group, and of a group
+    without ids, the first in the input's files stays.  An empty table stays
+    empty; columns may have any names.
     """
-    groups = write_table(near_groups(docs, s, id_col, text_col), "groups")
-    gone = groups.filter(~F.col("stays")).select(F.col("row").alias("_row"))
-    plain, hidden = hide(docs)
-    return plain.withColumn("_row", F.monotonically_increasing_id()).hint("merge").join(gone, "_row", "left_anti").select(*shown(hidden))
+    gone = near_groups(docs, s, id_col, text_col).filter(~F.col("stays")).select(F.col("row").alias("_row"))
+    plain, names, _ = hide(docs)
+    return marked(numbered(plain), gone, "_gone").filter(~F.col("_gone")).select(*shown(names))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``, as ``near_groups`` gives them for two-word shingles; ``kept`` is true of null ids' rows that stay."""
     out = near_groups(table(spark, sf_dir, "documents"), Setup(width=2))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("stays")).alias("kept"))
 
