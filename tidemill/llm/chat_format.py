@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import hide, table
 
 ASSISTANT = "assistant"
 _HEAD, _MID, _TAIL = "### ", ": ", "</turn>\n"
@@ -64,7 +64,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     through sorted partitions, so a task holds one example at a time.
     """
     spark = turns.sparkSession
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain, _, (c, n, r, t) = hide(turns, (), conv_col, turn_col, role_col, text_col)
+    rows = plain.select(F.col(c).alias("conv_id"), F.col(n).alias("turn"), F.coalesce(F.col(r), F.lit("")).alias("role"), F.coalesce(F.col(t), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = rows.schema["conv_id"].dataType
@@ -108,12 +109,20 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return rows.mapInArrow(expand, f"conv_id {kind.simpleString()}, example long, text string, loss_start long, loss_end long")
 
 
-def read_back(examples: DataFrame) -> DataFrame:
+def read_back(examples: DataFrame, in_order: bool = False) -> DataFrame:
     """What the examples of ``format_chats`` say of each conversation, parsed from their texts.
 
-    ``examples`` must come straight from ``format_chats``, as it keeps the
-    examples of a conversation together and in order.
+    (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)
+    of each conversation: its turns, read from the last example, which holds
+    all; what the examples train on, in order; the length of all examples.
+    Examples that were written and read again are dealt and sorted once more,
+    as ``in_order`` says.  A null conversation is one; an empty table gives no
+    rows; other columns do not matter.
     """
+    if not in_order:
+        n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        examples = examples.repartition(n, "conv_id").sortWithinPartitions("conv_id", "example")
+    examples = examples.select("conv_id", "example", "text", "loss_start", "loss_end")
 
     def digest(batches: Iterator[pa.RecordBatch]):
         key_type, out = None, []
@@ -157,10 +166,11 @@ def read_back(examples: DataFrame) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``conversations`` and for one of control strings, as ``read_back`` gives them."""
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, ASSISTANT, said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(chats.unionByName(extra)))
+    return read_back(format_chats(chats.unionByName(extra)), in_order=True)
 
 
 QUERIES = {"op6_chat_format": op6_chat_format}

@@ -16,18 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .linear import held_out
-from .shared import hide, shown, table
+from .linear import bounded, held_out
+from .shared import drop_table, hide, numbered, shown, table, write_table
 from .vectors import LETTERS, LOWER, Words, blocks, column, span_hash, texts, words
 
-#: Buckets of the hashed features, and most rows of each language in the sample that a model is fitted on.
-BUCKETS, ROWS_PER_LANG = 1 << 18, 250
+#: Buckets of the hashed features: a model is one float32 for each and each language.
+BUCKETS = 1 << 18
+#: The sample that a model is fitted on: most rows of each language, most languages (those with the most rows), most bytes of text in all.
+ROWS_PER_LANG, MOST_LANGS, SAMPLE_BYTES = 250, 100, 32 << 20
 #: Frequent words of a language that make its lexicon.
 LEXICON = 300
 #: Words of a training sequence, share of sequences that switch language, passes, step size, ridge.
 LENGTH, SWITCHED, EPOCHS, RATE, RIDGE = 32, 0.4, 3, 0.5, 1e-6
-#: Sampled ids up to this many are broadcast.
-MAX_BROADCAST_ROWS = 100_000
 #: Bytes of text whose rows go through forward-backward together.
 CHUNK_BYTES = 8 << 20
 UNDETERMINED = "und"
@@ -38,8 +38,8 @@ class Crf:
     langs: list[str]
     emit: np.ndarray  # BUCKETS x languages
     trans: np.ndarray  # log scores of language after language
-    lexicon: np.ndarray  # sorted word hashes
-    lexicon_of: np.ndarray  # the bits of the languages that have it
+    lexicon: np.ndarray  # sorted word hashes, one for each language that has the word
+    lexicon_of: np.ndarray  # that language
 
 
 def _fold(data: np.ndarray) -> np.ndarray:
@@ -77,12 +77,11 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.nd
             ws.append(owner[s])
     known, of = model_lexicon
     if len(known):
-        i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        bits = np.where(known[i] == hashes, of[i], 0)
-        for b in range(int(of.max()).bit_length()):
-            ok = every[(bits >> b) & 1 == 1]
-            hs.append(np.full(len(ok), (b + 1) << 46, np.uint64))
-            ws.append(ok)
+        a, b = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+        times = b - a
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
+        hs.append((of[at].astype(np.uint64) + np.uint64(1)) << np.uint64(46))
+        ws.append(np.repeat(every, times))
     h, w = np.concatenate(hs), np.concatenate(ws)
     order = np.argsort(w, kind="stable")
     return (h[order] >> np.uint64(46)).astype(np.int64), w[order]
@@ -139,12 +138,14 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> Crf:
     w = _words(data, off)
     lang_of = np.array([langs.index(g) for g, _ in sample])[w.row]
     vocab, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
-    bits = np.zeros(len(vocab), np.int64)
-    for g in range(min(n_lang, 62)):
+    tops = []
+    for g in range(n_lang):
         n = np.bincount(word[lang_of == g], minlength=len(vocab))
         top = np.argsort(-n, kind="stable")[:LEXICON]
-        bits[top[n[top] > 1]] |= 1 << g
-    lexicon = (vocab[bits > 0], bits[bits > 0])
+        tops.append(top[n[top] > 1])
+    owner, tops = np.repeat(np.arange(n_lang), [len(t) for t in tops]), np.concatenate(tops)
+    order = np.argsort(tops, kind="stable")  # the vocabulary is sorted by hash
+    lexicon = (vocab[tops[order]], owner[order])
     idx, of = features(w.data, w.start[first], w.end[first], vocab, lexicon)
     at = np.searchsorted(of, np.arange(len(vocab) + 1))
     emit, g2 = np.zeros((BUCKETS, n_lang), np.float32), np.full((BUCKETS, n_lang), 1e-2, np.float32)
@@ -155,7 +156,7 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> Crf:
     if not present:
         return Crf(langs, emit, trans, *lexicon)
     batch = 96
-    steps = max(20, EPOCHS * sum(min(len(b), 400_000) for b in by) // (LENGTH * batch))
+    steps = max(20, EPOCHS * len(word) // (LENGTH * batch))
     for _ in range(steps):
         x, y = np.empty((batch, LENGTH), np.int64), np.empty((batch, LENGTH), np.int64)
         for i in range(batch):
@@ -208,22 +209,28 @@ def _expected(score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndar
     return gamma / gamma.sum(axis=2, keepdims=True), xi
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = ROWS_PER_LANG) -> Crf:
-    """A model from at most ``most`` rows of each language, those whose id's hash is smallest.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = ROWS_PER_LANG, langs: int = MOST_LANGS, most_bytes: int = SAMPLE_BYTES) -> Crf:
+    """A model from at most ``most`` ids of each language, a row each, those whose hash is smallest.
 
-    The rank's limit is applied before the shuffle, so a language with most
-    rows costs no more than any other.
+    Of more than ``langs`` languages those with the most rows are learned; of
+    more than ``most_bytes`` of text, the rows of the smallest hashes.  Of
+    several rows with an id and a language the first in the input's files
+    counts; rows with a null id or language are left out.  Rows are counted
+    and ranked map-side before they shuffle, so a language with most rows
+    costs no more than any other.
     """
-    w = Window.partitionBy("g").orderBy(F.xxhash64("i"), "i")
-    ids = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("g"), F.col(id_col).alias("i"))
-    ids = ids.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("g", "i").persist()
-    try:
-        few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
-        plain = docs.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_g"), F.col(text_col).alias("t"))
-        rows = plain.join(few, (F.col("_i") == F.col("i")) & (F.col("_g") == F.col("g"))).select("g", "t").toArrow()
-    finally:
-        ids.unpersist()
-    return fit(list(zip(rows.column("g").to_pylist(), rows.column("t").to_pylist(), strict=True)))
+    plain, _, (t, g, i) = hide(docs, (), text_col, lang_col, id_col)
+    rows = numbered(plain).select("_row", F.col(g).alias("g"), F.col(i).alias("id"), F.col(t).alias("text"))
+    own = rows.filter(F.col("g").isNotNull() & F.col("id").isNotNull()).groupBy("g", "id").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("n"))
+    own = write_table(own, "language-ids")
+    chosen = own.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(langs).select("g")
+    w = Window.partitionBy("g").orderBy(F.xxhash64("id"), "id")
+    few = own.join(F.broadcast(chosen), "g", "left_semi").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
+    few = write_table(few.select("_row", "g", "_k"), "sampled")  # at most langs * most rows
+    sample = write_table(rows.select("_row", "text").join(F.broadcast(few), "_row"), "sample")
+    got = bounded(sample, langs * most, most_bytes, "_k", "g").select("g", "text").toArrow()
+    drop_table(own, few, sample)
+    return fit(list(zip(got.column("g").to_pylist(), got.column("text").to_pylist(), strict=True)))
 
 
 def _has_letter(batch_text: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -242,8 +249,8 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     as all are where nothing was learned; equal texts get equal results; an
     empty table stays empty; columns of those names are replaced.
     """
-    rows, hidden = hide(docs, ("lang_pred", "score"))
-    names, text_col = list(hidden.values()), hidden[text_col]
+    rows, hidden, (text_col,) = hide(docs, ("lang_pred", "score"), text_col)
+    names = list(hidden)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each language
     langs = [*model.langs, UNDETERMINED]
 
@@ -267,12 +274,17 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             names_of = pa.DictionaryArray.from_arrays(pa.array(best, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), names_of, pa.array(np.clip(mean, 0, 1))], [*names, "lang_pred", "score"])
 
-    schema = hide(docs, ("lang_pred", "score"))[0].schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.select(*names).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(label, schema).select(*shown(hidden), "lang_pred", "score")
 
 
 def word_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, lang, score) of each word, places in UTF-8 bytes; texts without words give no rows."""
+    """(id, start, end, lang, score) of each word, places in UTF-8 bytes.
+
+    Null and empty texts and texts without words give no rows, as an empty
+    table and a model that learned nothing; a null id stays null; rows that
+    repeat an id all count; other columns do not matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     langs = model.langs
 
@@ -287,11 +299,13 @@ def word_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col
             best = pa.DictionaryArray.from_arrays(pa.array(p.argmax(axis=1), pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(w.row)), pa.array(w.start - off[w.row]), pa.array(w.end - off[w.row]), best, pa.array(p.max(axis=1).astype(float))], ["id", "start", "end", "lang", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain, _, (i, t) = hide(docs, (), id_col, text_col)
+    rows = plain.select(F.col(i).alias("id"), F.col(t).alias("text"))
     return rows.mapInArrow(label, f"id {rows.schema['id'].dataType.simpleString()}, start long, end long, lang string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``, as ``identify`` gives them; two thirds by id's hash are learned from."""
     docs = table(spark, sf_dir, "documents")
     out_of = held_out(F.col("doc_id"), 3, 1)
     model = train(docs.filter(~out_of))

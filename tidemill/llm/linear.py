@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hide, shown
+from .shared import drop_table, hide, numbered, shown, write_table
 from .vectors import blocks, column, row_sums, texts
 
 #: Buckets of the hashed indicators; a model is one float32 for each.
 BUCKETS = 1 << 20
+#: Most bytes of text in a sample that a model is fitted on.
+SAMPLE_BYTES = 64 << 20
 
 #: From (bytes, offsets) of some rows to (bucket, row), each pair once, by row.
 Indicators = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -31,18 +33,41 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod == rest
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text) of at most ``most`` labelled rows, those whose id's hash is smallest.
+def bounded(sample: DataFrame, most: int, most_bytes: int, *order: str) -> DataFrame:
+    """The rows of ``sample`` (_row, text, at most ``most`` of them) up to ``most_bytes`` of text, in order."""
+    size = sample.select(*order, "_row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size")).orderBy(*order, "_row").limit(most).toArrow()
+    total = np.cumsum(size.column("_size").to_numpy())
+    if not len(total) or total[-1] <= most_bytes:
+        return sample
+    last = max(1, int(np.searchsorted(total, most_bytes, "right")))
+    few = sample.sparkSession.createDataFrame([(int(r),) for r in size.column("_row").to_numpy()[:last]], "_row long")
+    return sample.join(F.broadcast(few), "_row", "left_semi")
 
-    The bound makes the broadcast safe.  Rows with a null id or label are left out.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, y, text) of at most ``most`` labelled ids, a row each, those whose hash is smallest, and of ``most_bytes`` of text; written.
+
+    An id with several labels has the largest; of several rows with an id the
+    first in the input's files counts.  Rows with a null id or label are left
+    out.  ``docs`` should come from files; it is read once for its ids, once
+    for the sample's texts.  The bounds make the broadcasts safe.
     """
+    plain, _, (i, t) = hide(docs, (), id_col, text_col)
+    rows = numbered(plain)
+    known, _, (k, y) = hide(labels, (), id_col, label)
     ids = (
-        labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("_id"), "_id", "y")
+        known.filter(F.col(y).isNotNull() & F.col(k).isNotNull())
+        .groupBy(F.col(k).alias("id"))
+        .agg(F.max(F.col(y).cast("int")).alias("y"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "y", "text")
+    ids = write_table(ids, "labelled")  # at most ``most`` rows
+    first = rows.select("_row", F.col(i).alias("id")).join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("_row").alias("_row"))
+    first = write_table(first, "sampled")  # at most ``most`` rows
+    sample = write_table(rows.select("_row", F.col(t).alias("text")).join(F.broadcast(first), "_row").select("_row", "id", "y", "text", F.xxhash64("id").alias("_h")), "sample")
+    drop_table(ids, first)
+    return bounded(sample, most, most_bytes, "_h", "id").select("id", "y", "text")
 
 
 def indicators_of(sample: DataFrame, of: Indicators) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,8 +128,8 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float, float], of: Indi
     """
     weights, a, b = model
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS floats, whatever the input
-    rows, hidden = hide(docs, ("score",))
-    names, text_col = list(hidden.values()), hidden[text_col]
+    rows, hidden, (text_col,) = hide(docs, ("score",), text_col)
+    names = list(hidden)
 
     def score(batches: Iterator[pa.RecordBatch]):
         w = shared.value
@@ -118,4 +143,4 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float, float], of: Indi
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(p)], [*names, "score"])
 
-    return rows.mapInArrow(score, hide(docs, ("score",))[0].schema.add("score", "double")).select(*shown(hidden), "score")
+    return rows.mapInArrow(score, rows.select(*names).schema.add("score", "double")).select(*shown(hidden), "score")

@@ -95,7 +95,7 @@ def fit(y: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE_ROWS) -> tuple[np.ndarray, float, float]:
-    """A model from at most ``most`` rows of ``labels`` joined with ``docs``."""
+    """A model from at most ``most`` ids of ``labels`` and SAMPLE_BYTES of their texts, as ``labelled_sample`` has them."""
     return fit(*indicators_of(labelled_sample(docs, labels, label, most), indicators))
 
 
@@ -110,6 +110,7 @@ def score_quality(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``, as ``score_quality`` gives them; four fifths of the labels by id's hash are learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0))
     out = score_quality(docs, train(docs, labels))

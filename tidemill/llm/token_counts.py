@@ -130,8 +130,8 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text_col: str = "text", l
     words and tokens; equal texts get equal counts; an empty table stays
     empty; columns of those names are replaced.
     """
-    rows, hidden = hide(docs, ("n_words", "n_tokens"))
-    names, text_col = list(hidden.values()), hidden[text_col]
+    rows, hidden, (text_col,) = hide(docs, ("n_words", "n_tokens"), text_col)
+    names = list(hidden)
     shared = docs.sparkSession.sparkContext.broadcast(build(pieces))  # grows with the vocabulary only
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -144,11 +144,12 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text_col: str = "text", l
             tokens = np.bincount(w.row, weights=each, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(np.bincount(w.row, minlength=n).astype(np.int64)), pa.array(tokens)], [*names, "n_words", "n_tokens"])
 
-    schema = hide(docs, ("n_words", "n_tokens"))[0].schema.add("n_words", "long").add("n_tokens", "long")
+    schema = rows.select(*names).schema.add("n_words", "long").add("n_tokens", "long")
     return rows.mapInArrow(count, schema).select(*shown(hidden), "n_words", "n_tokens")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``, as ``count_tokens`` gives them for the byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, vocabulary()).select("doc_id", "n_words", "n_tokens")
 

@@ -8,6 +8,7 @@ neutral mention of a group does not raise the score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ LEAST_DEVIATION = 3.0
 #: Weight of the counterfactual penalty and of the ridge, step size, passes.
 PENALTY, RIDGE, RATE, EPOCHS = 1.0, 1e-5, 0.3, 6
 
-#: Group names that may take each other's place; lower case.
+#: Group names that may take each other's place, lower case: English, German, French, Spanish.  Of a name in several groups the first counts.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -39,9 +40,40 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("old", "young"),
     ("deaf", "blind", "disabled"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer"),
+    ("taube", "blinde", "behinderte"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("lesbiennes", "bisexuels", "transgenres"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("sourds", "aveugles", "handicapés"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("lesbianas", "bisexuales", "transexuales"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("sordos", "ciegos", "discapacitados"),
 )
 
 
+class Model(NamedTuple):
+    """weights of buckets; a, b: calibration of the margin; rows and twins that it was fitted on, without which the penalty has no effect."""
+
+    weights: np.ndarray
+    a: float
+    b: float
+    rows: int
+    twins: int
+
+
 def indicators(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and word pairs, lower-cased, each once a row."""
     w = words(data, off, ALNUM)
@@ -76,7 +108,7 @@ _next: dict[tuple, dict[str, str]] = {}
 
 def _successors(groups: tuple) -> dict[str, str]:
     if groups not in _next:
-        _next[groups] = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
+        _next[groups] = {t: g[(i + 1) % len(g)] for g in reversed(groups) for i, t in enumerate(g)}
     return _next[groups]
 
 
@@ -143,23 +175,19 @@ def fit(y, at, x, twin_of: np.ndarray, twin_at, twin_x, penalty: float = PENALTY
     return w, a, a * bias + b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE_ROWS, groups: tuple = IDENTITY_TERMS, penalty: float = PENALTY) -> tuple[np.ndarray, float, float]:
-    """A model from at most ``most`` rows of ``labels`` joined with ``docs``, and their counterfactuals."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE_ROWS, groups: tuple = IDENTITY_TERMS, penalty: float = PENALTY) -> Model:
+    """A model from at most ``most`` ids of ``labels`` and SAMPLE_BYTES of their texts, as ``labelled_sample`` has them, and their counterfactuals.
+
+    ``groups``: the names that are swapped; the model tells how many texts had any.
+    """
     sample = labelled_sample(docs, labels, label, most)
     y, at, x = indicators_of(sample, indicators)
-    of, t_at, t_x = _twins(sample, groups)
-    return fit(y, at, x, of, t_at, t_x, penalty)
-
-
-def _twins(sample: DataFrame, groups: tuple):
-    """The counterfactuals' indicators and the places of their rows in the sample's order."""
-    order = sample.select("id", "y").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    where = {k: i for i, k in enumerate(zip(order.column(0).to_pylist(), order.column(1).to_pylist(), strict=True))}
     swaps = counterfactuals(sample, groups)
-    keys = swaps.select("id", "y").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    of = np.array([where[k] for k in zip(keys.column(0).to_pylist(), keys.column(1).to_pylist(), strict=True)], np.int64)
-    _, at, x = indicators_of(swaps, indicators)
-    return of, at, x
+    ids = [sample.select("id").toArrow().column(0), swaps.select("id").toArrow().column(0)]  # an id has one row
+    place = {k: i for i, k in enumerate(sorted(ids[0].to_pylist()))}
+    of = np.array([place[k] for k in sorted(ids[1].to_pylist())], np.int64)
+    _, t_at, t_x = indicators_of(swaps, indicators)
+    return Model(*fit(y, at, x, of, t_at, t_x, penalty), len(y), len(of))
 
 
 def score_toxicity(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
@@ -168,10 +196,11 @@ def score_toxicity(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     Null and empty texts get the score of the intercept; equal texts get equal
     scores; an empty table stays empty; a column named score is replaced.
     """
-    return score_rows(docs, model, indicators, False, text_col)
+    return score_rows(docs, model[:3], indicators, False, text_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``, as ``score_toxicity`` gives them; three quarters of the labels by id's hash are learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 4, 2))
     out = score_toxicity(docs, train(docs, labels))
