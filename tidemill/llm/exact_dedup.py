@@ -6,6 +6,11 @@ against the kept bits: a row with a clear bit is the only one with its text
 and passes straight through; the others shuffle, and a digest settles which
 of them really repeat.  Everything is a DataFrame function; no Python runs
 on the executors.
+
+Texts are read once, for a table of digests that both passes work on, so no
+text shuffles.  The filter is cut in blocks of hash ranges.  Blocks up to
+``MAX_FILTER_BYTES`` are broadcast; beyond that digests meet their block by a
+shuffle, and the filter works as before.
 """
 
 from __future__ import annotations
@@ -13,16 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hide, shown, table, write_table
+from .shared import BITMAP_BITS, hide, is_set, marked, numbered, shown, table, write_table
 
-#: Bits of a block: what one aggregated bitmap holds.
-BLOCK_BITS = 32768
 #: Bits for each row; with two bits a row, about 1.4 % of unique rows test positive.
 BITS_PER_ROW = 16
-#: Most bytes that the filter may have to be broadcast; beyond, every row shuffles its digest.
+#: Most bytes of filter blocks that are broadcast; beyond, digests are dealt to their blocks.
 MAX_FILTER_BYTES = 64 << 20
 
 _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
+_NEW = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: Column) -> Column:
@@ -33,30 +37,42 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def repeat_filter(hashes: DataFrame, n_rows: int) -> tuple[DataFrame, int] | None:
-    """Blocks of the bits that more than one row of ``hashes`` (column ``_h``) posts, and the number of blocks.
-
-    None if a filter for ``n_rows`` would be over ``MAX_FILTER_BYTES``.
-    """
-    blocks = max(1, -(-n_rows * BITS_PER_ROW // BLOCK_BITS))
-    if blocks * BLOCK_BITS // 8 > MAX_FILTER_BYTES:
-        return None
-    bits = hashes.select(_block(blocks).alias("_block"), F.explode(F.array_distinct(F.array(*_bits()))).alias("_bit"))
-    twice = bits.groupBy("_block", "_bit").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return twice.groupBy("_block").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bitmap")), blocks
-
-
-def _block(blocks: int) -> Column:
-    return F.pmod(F.shiftright("_h", 30), F.lit(blocks)).cast("int")
+def digests(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, id, len, h, sha) of each row, written: what dedup needs instead of the text. len: code points of the original text."""
+    text = rows.select("_row", F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"), normalised(F.col(text_col)).alias("t"))
+    return write_table(text.select("_row", "id", "len", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")), "digests")
 
 
 def _bits() -> tuple[Column, Column]:
-    return F.col("_h").bitwiseAND(BLOCK_BITS - 1), F.shiftright("_h", 15).bitwiseAND(BLOCK_BITS - 1)
-
-
-def _is_set(bit: Column) -> Column:
-    byte = F.substring(F.col("_bitmap"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), bit.bitwiseAND(7).cast("int")) == 1
+    return F.col("h").bitwiseAND(BITMAP_BITS - 1), F.shiftright("h", 15).bitwiseAND(BITMAP_BITS - 1)
+
+
+def may_repeat(digest: DataFrame) -> DataFrame:
+    """``digest`` with may: whether the filter has another row with its bits."""
+    blocks = max(1, -(-digest.count() * BITS_PER_ROW // BITMAP_BITS))
+    block = F.pmod(F.shiftright("h", 30), F.lit(blocks)).cast("int")
+    bits = digest.select(block.alias("block"), F.explode(F.array_distinct(F.array(*_bits()))).alias("bit"))
+    twice = bits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bitmaps = write_table(twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), "repeat-filter")
+    if bitmaps.count() * (BITMAP_BITS // 8) <= MAX_FILTER_BYTES:
+        bitmaps = F.broadcast(bitmaps)
+    one, two = _bits()
+    met = digest.withColumn("block", block).join(bitmaps, "block", "left")
+    return met.withColumn("may", F.coalesce(is_set(F.col("bits"), one) & is_set(F.col("bits"), two), F.lit(False))).drop("block", "bits")
+
+
+def copies(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, id, keep_id, group_size, kept, text_sha256) of each of ``rows``, which are numbered by _row."""
+    digest = may_repeat(digests(rows, id_col, text_col))
+    out = ["_row", "id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")]
+    unique = digest.filter(~F.col("may")).withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    may = digest.filter("may")
+    order = F.struct((-F.col("len")).alias("l"), F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("_row").alias("r"))
+    best = may.groupBy(F.col("sha").alias("key")).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join are plain shuffles and Spark splits a text that holds many rows
+    best = write_table(best, "groups")
+    repeated = may.join(best, F.col("sha") == F.col("key")).withColumns({"keep_id": F.col("best.i"), "kept": F.col("best.r") == F.col("_row")})
+    return unique.select(*out).unionByName(repeated.select(*out))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,49 +85,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     files.  An empty table gives an empty table.  Columns of ``docs`` with the
     names of the new ones are replaced; any other names may occur.
 
-    ``docs`` is read four times and should come from files.  A text that
-    holds a third of all rows is counted map-side and joined back as a skewed
-    join that Spark splits.
+    ``docs`` should come from files.  The other columns are joined by row
+    number, a shuffle of them; ``drop_copies`` needs none.  A text that holds a
+    third of all rows is counted map-side and joined back as a skewed join
+    that Spark splits.
     """
-    docs, hidden = hide(docs, ("keep_id", "group_size", "kept", "text_sha256"))
-    id_col, text_col = hidden[id_col], hidden[text_col]
-    text = normalised(F.col(text_col))
-    made = repeat_filter(docs.select(F.xxhash64(text).alias("_h")), docs.count())
-    rows = docs.select("*", F.monotonically_increasing_id().alias("_row"), F.xxhash64(text).alias("_h"))
-    if made is None:
-        rows = rows.withColumn("_may", F.lit(True))
-    else:
-        bitmaps, blocks = made
-        bitmaps = write_table(bitmaps, "repeat-filter")
-        # at most MAX_FILTER_BYTES, which repeat_filter has checked
-        rows = rows.withColumn("_block", _block(blocks)).join(F.broadcast(bitmaps), "_block", "left")
-        one, two = _bits()
-        rows = rows.withColumn("_may", F.coalesce(_is_set(one) & _is_set(two), F.lit(False)))
-    digest = rows.select(*hidden.values(), "_row", "_may", F.sha2(text, 256).alias("text_sha256"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"))
-    out = [*shown(hidden), "keep_id", "group_size", "kept", "text_sha256"]
-    unique = digest.filter(~F.col("_may")).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    may = digest.filter("_may")
-    order = F.struct((-F.col("_len")).alias("l"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
-    best = may.groupBy(F.col("text_sha256").alias("_key")).agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    # written, so that both sides of the join are plain shuffles and Spark splits a text that holds many rows
-    best = write_table(best, "groups")
-    repeated = (
-        may.join(best, F.col("text_sha256") == F.col("_key"))
-        .withColumn("keep_id", F.col("_best.i"))
-        .withColumn("kept", F.col("_best.r") == F.col("_row"))
-    )
-    return unique.select(*out).unionByName(repeated.select(*out))
+    plain, names, (i, t) = hide(docs, _NEW, id_col, text_col)
+    rows = numbered(plain)
+    return rows.join(copies(rows, i, t).drop("id"), "_row").select(*shown(names), *_NEW)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns of ``docs``."""
-    plain, hidden = hide(docs)
-    kept = exact_dedup(plain, hidden[id_col], hidden[text_col]).filter("kept")
-    return kept.select(*shown(hidden))
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns of ``docs``, whatever their names; no text moves."""
+    plain, names, (i, t) = hide(docs, (), id_col, text_col)
+    rows = numbered(plain)
+    gone = copies(rows, i, t).filter(~F.col("kept")).select("_row")
+    return marked(rows, gone, "_gone").filter(~F.col("_gone")).select(*shown(names))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """A row for each of ``documents``; texts as in ``exact_dedup``, of which it takes the columns that the digests have."""
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return copies(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), *_NEW)
 
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}
