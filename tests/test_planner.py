@@ -209,6 +209,13 @@ def test_sql_that_the_algebra_lacks_runs_as_it_is(spark, tmp_path):
     assert got.count() == 200 and not s.store.entries
 
 
+def test_graph_of_all_relations(spark, tmp_path):
+    s = make(spark, tmp_path)
+    s.run([R.join(S, ON)], complements=True)
+    text = s.planner.graph()
+    assert text.startswith("digraph") and text.count("style=filled") >= 3 and all(f'label="{k}"' in text for k in ("forward", "reverse"))
+
+
 def test_sql_reuse_and_names(spark, tmp_path):
     s = make(spark, tmp_path)
     s.sql("SELECT r_v AS v, count(*) AS n FROM r WHERE r_k > 5 AND r_v < 4 GROUP BY r_v", keep=True)

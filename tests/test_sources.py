@@ -41,3 +41,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_import_command(spark, tmp_path, capsys):
+    import json
+
+    from tidemill.sources.__main__ import main
+
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "k int, t string")
+    (tmp_path / "pairs.tbl").write_text("1|a b|\n2|c|\n")
+    (tmp_path / "schemas.json").write_text(json.dumps({"pairs": df.schema.jsonValue()}))
+    args = [str(tmp_path), str(tmp_path / "out"), str(tmp_path / "schemas.json")]
+    assert main(args) == ["pairs"] and main(args) == []
+    assert "nothing" in capsys.readouterr().out
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "pairs.parquet")).collect())) == [(1, "a b"), (2, "c")]

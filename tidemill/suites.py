@@ -14,7 +14,7 @@ from .operators import reverse as V
 from .plans import algebra as A
 from .plans.algebra import Agg, Rel, alias, col, fn, lower
 from .plans.workload import Session, star_workload
-from .sources import TABLES, load, register_views, shared_root
+from .sources import TABLES, import_tbl, load, register_views, shared_root, write
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -105,6 +105,23 @@ algebra("filter_like_exact", P.where(c("p_type").like("PROMO")).keep("p_partkey"
 algebra("filter_not_like", P.where(~c("p_name").like("%widget")).keep("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%widget'")
 query("filter_contains", "SELECT p_partkey FROM part WHERE contains(p_name, 'ld')")(lambda t: R.select(t.part, F.col("p_name").contains("ld")).select("p_partkey"))
 
+
+
+@query("import_tbl", "SELECT * FROM orders")
+def _import_tbl(t):
+    """A table written as pipe-delimited text, with a bar at the end of each line, and imported again."""
+    path = shared_root(t.spark, "tidemill-tbl")
+    t.orders.select(F.concat(*(x for f in t.orders.columns for x in (F.col(f).cast("string"), F.lit("|")))).alias("value")).write.text(path)
+    return import_tbl(t.spark, path, t.orders.schema)
+
+
+@query("write_table", "SELECT * FROM customer")
+def _write_table(t):
+    path = shared_root(t.spark, "tidemill-written")
+    write(t.customer, path)
+    return t.spark.read.parquet(path)
+
+
 # projections
 algebra("project_arith", L.select(l_orderkey=c("l_orderkey"), a=c("l_linenumber") * 3 + 1, b=c("l_linenumber") - 2, d=c("l_quantity") / 2), "SELECT l_orderkey, l_linenumber * 3 + 1 AS a, l_linenumber - 2 AS b, l_quantity / 2 AS d FROM lineitem")
 algebra("project_case_when", P.select(p_partkey=c("p_partkey"), large=fn("case", c("p_size") > 25, 1, 0)), "SELECT p_partkey, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS large FROM part")
@@ -277,6 +294,15 @@ def _reuse_larger(t):
     return _with_counts(s.query(q), reports)
 
 
+@query("reuse_project_rebuild", "SELECT * FROM orders")
+def _reuse_project(t):
+    """A base table is rebuilt from a projection, whose expression is inverted, and its complement."""
+    s = session(t)
+    s.run([O.select(o_orderkey=c("o_orderkey"), owed=-c("o_totalprice"), o_custkey=c("o_custkey"))], complements=True)
+    s.planner.forget_table("orders")
+    return s.query(O)
+
+
 @query("reuse_evict", "SELECT *, 0 AS reused, 0 AS views, 0 AS joins, 1 AS rebuilt, 0 AS evicted FROM orders")
 def _reuse_evict(t):
     """A base table is given up after its join and antijoin are kept, and a query that asks for it gets it rebuilt."""
