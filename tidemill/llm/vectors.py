@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are handled at once; a longer text is cut at a word's end.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -49,9 +49,9 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        p = np.full(max(n, BLOCK_BYTES + 1), _BASE if kind == "up" else _BASE_INVERSE, _U)
+        p = np.full(max(n, min(2 * len(_powers[kind]), BLOCK_BYTES + 1)), _BASE if kind == "up" else _BASE_INVERSE, _U)
         p[0] = 1
-        _powers[kind] = np.cumprod(p)
+        _powers[kind] = np.cumprod(p, out=p)
     return _powers[kind]
 
 
