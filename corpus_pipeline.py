@@ -1,7 +1,8 @@
 """A corpus from raw documents to sampled piece ids.
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as
-Parquet and read again as the next one's ``docs``.
+Parquet and read again as the next one's ``docs``.  Stages take rows with null
+or repeated ids, empty tables and further columns of any names.
 """
 
 from __future__ import annotations
@@ -10,34 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, exact_dedup, near_dedup, quality, sentencepiece_sampling
-from tidemill.llm.shared import table, write_table
+from tidemill.llm.shared import hide, shown, table, write_table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on ``labels``, does not reject."""
+    """Documents that the quality classifier, fitted on ``labels``, does not reject.
+
+    Null and empty texts have the score of the intercept; repeats fare alike.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    scored = quality.score_quality(docs.withColumnsRenamed({c: f"d_{c}" for c in names}), model, "d_text")
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*(F.col(f"d_{c}").alias(c) for c in names))
+    plain, names, (text,) = hide(docs, (), "text")
+    return quality.score_quality(plain, model, text).filter(F.col("score") >= quality.THRESHOLD).select(*shown(names))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of those that are equal but for white space."""
+    """One document of those that are equal but for white space; null and empty texts are one group."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingle sets of similarity 0.8 or more."""
+    """One document of each group with five-word shingle sets of similarity 0.8 or more; texts without words stay."""
     return near_dedup.near_dedup(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no window of ten words of ``benchmark``."""
+    """Documents with no window of ten words of ``benchmark``; texts without words stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document: doc_id, sample, ids, logp, inclusion."""
+    """Sampled segmentations of each document: doc_id, sample, ids, logp, inclusion; a null or empty text has the empty one."""
     return sentencepiece_sampling.encode(docs, sentencepiece_sampling.load_pieces()).withColumnRenamed("id", "doc_id")
 
 
