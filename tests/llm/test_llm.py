@@ -369,6 +369,26 @@ def test_pieces_of_several_spaces_are_drawn():
     assert spaces and spaces <= set(real.piece_of.tolist())
 
 
+def test_pieces_with_a_space_inside_are_drawn(tmp_path):
+    spelled = [b"", b"a", b" ", b"b", b"a b", b"b ", b" a", b"b  a b"]
+    p = sentencepiece_sampling.make_pieces(spelled, {w: i for i, w in enumerate(spelled) if w}, np.full(256, sentencepiece_sampling.NONE, np.int64))
+    lines = [b"a", b" ba b  a b", b"", b"b a a b", b"ab b", b" b"]
+    data, off = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)])
+    draws = sentencepiece_sampling.sample_block(sentencepiece_sampling.Lattices(p), data, off, np.arange(len(lines), dtype=np.uint64), 200)
+    for text, drawn in zip(lines, draws, strict=True):
+        ways = [1]
+        for e in range(1, len(text) + 1):
+            ways.append(sum(ways[e - len(w)] for w in spelled if w and text[:e].endswith(w)))
+        assert len(drawn) == ways[-1] and abs(sum(np.exp(d.logp) for d in drawn) - 1) < 1e-9
+    import sentencepiece
+
+    (tmp_path / "text").write_text("the man of the house and the man of the hill\n" * 50)
+    sentencepiece.SentencePieceTrainer.train(input=str(tmp_path / "text"), model_prefix=str(tmp_path / "m"), model_type="bpe", vocab_size=300, byte_fallback=True, split_by_whitespace=False, hard_vocab_limit=False, minloglevel=2)
+    real = sentencepiece_sampling.load_pieces(str(tmp_path / "m.model"))
+    inner = {i for i, x in enumerate(real.spelled) if b" " in x.lstrip(b" ")}
+    assert inner and inner <= set(real.piece_of.tolist())
+
+
 def test_encode_and_decode(spark, tmp_path):
     docs, body = odd_docs(spark, tmp_path)
     pieces = sentencepiece_sampling.load_pieces()

@@ -10,8 +10,8 @@ inclusion probability.  All noise is a hash of the row's key.
 
 The vocabulary is byte-complete BPE, whose scores are ranks; a piece of rank r
 is given probability in proportion to 1 / (r + 2) (Zipf's law).  Segments begin
-with a run of spaces, which no piece goes on into, so lattices of distinct
-segments are built once and shared.
+with a run of spaces and end where no piece goes on into the next, so lattices
+of distinct segments are built once and shared.
 """
 
 from __future__ import annotations
@@ -33,22 +33,47 @@ from .vectors import blocks, column, hash_spans, mix, texts
 _U = np.uint64
 #: Segmentations that are drawn of each text.
 SAMPLES = 2
-#: Edges of lattices that a task keeps for segments it has seen; beyond, it starts anew. Bytes of segments whose lattices are built at once.
-CACHED_EDGES, BUILD_BYTES = 5_000_000, 1 << 17
+#: Edges of lattices that a task keeps for segments it has seen; beyond, it starts anew. Bytes of segments whose lattices are built at once, and of texts that are drawn from at once.
+CACHED_EDGES, BUILD_BYTES, TEXT_BYTES = 3_000_000, 1 << 16, 1 << 19
 SPACE = 0x20
 #: Gumbel noise made from 53 random bits is never over this; places of a path that are valued at once.
 MOST_NOISE, STRETCH = 37.5, 192
 
 
+class Steps:
+    """The edges of a trie as a bitmap of the bytes that go on from each node; a step takes no search."""
+
+    def __init__(self, trie: Automaton):
+        keys = trie.keys[trie.keys >= 0]
+        word = keys >> 6
+        self.bits = np.zeros(4 * len(trie.fail), _U)
+        np.bitwise_or.at(self.bits, word, _U(1) << (keys & 63).astype(_U))
+        self.base = np.searchsorted(word, np.arange(len(self.bits))).astype(np.int32)
+        self.to = trie.to.astype(np.int32)
+
+    def go(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which steps there are, and where these lead."""
+        at, low = (node.astype(np.int64) << 2) | (byte >> 6), (byte & 63).astype(_U)
+        bits = self.bits[at]
+        ok = np.flatnonzero((bits >> low) & _U(1))
+        below = bits[ok] & ((_U(1) << low[ok]) - _U(1))
+        return ok, self.to[self.base[at[ok]] + np.bitwise_count(below)]
+
+
 @dataclass
 class Pieces:
-    """A vocabulary as a trie over bytes: pieces by node, log probabilities and bytes by id."""
+    """A vocabulary as a trie over bytes: pieces by node, log probabilities and bytes by id.
 
-    trie: Automaton
+    ``across``: a trie of the pieces with a space behind another character and
+    where they end in it, None if there are none.
+    """
+
+    steps: Steps
     piece_of: np.ndarray
     logp: np.ndarray
     spelled: list[bytes]
     byte_id: np.ndarray
+    across: tuple[Steps, np.ndarray] | None
 
 
 def load_pieces(path: str | None = None) -> Pieces:
@@ -68,8 +93,7 @@ def load_pieces(path: str | None = None) -> Pieces:
             spelled[i], byte_id[b] = bytes([b]), i
         elif not (m.is_unknown(i) or m.is_control(i)):
             spelled[i] = m.id_to_piece(i).replace("▁", " ").encode()
-            if b" " not in spelled[i].lstrip(b" "):  # spaces before all else, so that it crosses no cut
-                whole.setdefault(spelled[i], i)
+            whole.setdefault(spelled[i], i)
     return make_pieces(spelled, whole, byte_id)
 
 
@@ -79,16 +103,50 @@ def make_pieces(spelled: list[bytes], whole: dict[bytes, int], byte_id: np.ndarr
     for rank, i in enumerate(sorted(whole.values())):
         logp[i] = -np.log(rank + 2.0)
     logp[byte_id[byte_id >= 0]] = -np.log(len(whole) + 2.0) - 1
-    trie = build(list(whole))
-    piece_of = np.full(len(trie.fail), NONE, np.int64)
-    data = np.frombuffer(b"".join(whole), np.uint8)
-    size = np.array([len(w) for w in whole])
-    at, node, ids = np.cumsum(size) - size, np.zeros(len(size), np.int64), np.array(list(whole.values()))
+    steps, node = _spelled_out(list(whole))
+    piece_of = np.full(len(steps.bits) // 4, NONE, np.int64)
+    piece_of[node] = list(whole.values())
+    across = None
+    if far := [w for w in whole if b" " in w.lstrip(b" ")]:
+        far_steps, node = _spelled_out(far)
+        ends = np.zeros(len(far_steps.bits) // 4, bool)
+        ends[node] = True
+        across = far_steps, ends
+    return Pieces(steps, piece_of, logp, spelled, byte_id, across)
+
+
+def _spelled_out(pieces: list[bytes]) -> tuple[Steps, np.ndarray]:
+    """The trie of ``pieces`` and the node of each."""
+    steps = Steps(build(pieces))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(w) for w in pieces], np.int64)
+    at, node = np.cumsum(size) - size, np.zeros(len(size), np.int64)
     for d in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > d)
-        node[live] = trie.go(node[live], data[at[live] + d])
-    piece_of[node] = ids
-    return Pieces(trie, piece_of, logp, spelled, byte_id)
+        node[live] = steps.go(node[live], data[at[live] + d])[1]
+    return steps, node
+
+
+def segment_starts(p: Pieces, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where segments begin: at rows and at runs of spaces, but where a piece goes on from before."""
+    cut = data == SPACE
+    cut[1:] &= data[:-1] != SPACE  # a run of spaces lies in one segment
+    if p.across is not None:
+        steps, ends = p.across
+        last = np.repeat(off[1:], np.diff(off))
+        over = np.zeros(len(data) + 1, np.int64)
+        src, state, depth = np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        while len(src):
+            ok, state = steps.go(state, data[src + depth])
+            src, depth = src[ok], depth + 1
+            whole = src[ends[state]]
+            np.add.at(over, whole + 1, 1)
+            np.add.at(over, whole + depth, -1)
+            more = src + depth < last[src]
+            src, state = src[more], state[more]
+        cut &= np.cumsum(over[:-1]) == 0
+    cut[off[:-1][off[:-1] < off[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 class Lattices:
@@ -100,14 +158,16 @@ class Lattices:
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
+        # room at once, of which the system gives what is used
+        most = CACHED_EDGES + CACHED_EDGES // 4
+        self.first = np.empty(most, np.int32)
+        self.to, self.piece, self.size = (np.empty(most, np.int32) for _ in range(3))
+        self.logp, self.cum = np.empty(most), np.empty(most)
         self.clear()
 
     def clear(self) -> None:
         self.known, self.root = np.zeros(0, _U), np.zeros(0, np.int64)
         self.nodes = self.edges = 0
-        self.first = np.zeros(0, np.int32)
-        self.to, self.piece, self.size = (np.zeros(0, np.int32) for _ in range(3))
-        self.logp, self.cum = np.zeros(0), np.zeros(0)
 
     def _room(self, name: str, used: int, new: np.ndarray) -> None:
         """Append to an array that has spare room at its end."""
@@ -152,9 +212,8 @@ class Lattices:
         e_from, e_len, e_piece = [], [], []
         src, depth = live, 0
         while len(src):
-            state = p.trie.go(state, byte[src + depth])
-            ok = state != NONE
-            src, state = src[ok], state[ok]
+            ok, state = p.steps.go(state, byte[src + depth])
+            src = src[ok]
             depth += 1
             is_piece = p.piece_of[state] != NONE
             e_from.append(src[is_piece])
@@ -336,11 +395,7 @@ class Search:
 def sample_block(lat: Lattices, data: np.ndarray, off: np.ndarray, keys: np.ndarray, k: int) -> list[list[Draw]]:
     """The draws of each row of a block."""
     n = len(off) - 1
-    cut = data == SPACE
-    cut[1:] &= data[:-1] != SPACE  # a run of spaces lies in one segment
-    inner = off[:-1][off[:-1] < off[1:]]
-    cut[inner] = True
-    start = np.flatnonzero(cut)
+    start = segment_starts(lat.p, data, off)
     row = np.searchsorted(off, start, "right") - 1
     end = np.append(start[1:], len(data))
     hashes = hash_spans(data, start, end)
@@ -413,31 +468,34 @@ def _encoded(docs: DataFrame, pieces: Pieces, k: int, id_col: str, text_col: str
     rows = plain.select(F.col(i).alias("id"), F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit(""))).alias("key"), F.col(t).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # grows with the vocabulary only
 
+    def one_block(lat: Lattices, decode: Decoder, b: pa.RecordBatch) -> pa.RecordBatch:
+        data, off = texts(column(b, "text"))
+        drawn = sample_block(lat, data, off, column(b, "key").to_numpy().view(_U), k)
+        row, number, ids, logp, inclusion, same = [], [], [], [], [], []
+        for i, draws in enumerate(drawn):
+            own = data[off[i] : off[i + 1]]
+            for j, d in enumerate(draws):
+                x = piece_ids(lat, d.edges, own)
+                row.append(i)
+                number.append(j)
+                ids.append(x)
+                logp.append(d.logp)
+                inclusion.append(d.inclusion)
+                if digest:
+                    same.append(decode(x) == own.tobytes())
+        size = np.array([len(x) for x in ids], np.int64)
+        out = [column(b, "id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32())]
+        if digest:
+            out += [pa.array(size), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array(same, pa.bool_())]
+        else:
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat, pa.int32())))
+        return pa.RecordBatch.from_arrays([*out, pa.array(logp, pa.float64()), pa.array(inclusion, pa.float64())], ["id", "sample", *(["n_pieces", "ids_sha256", "round_trip"] if digest else ["ids"]), "logp", "inclusion"])
+
     def encode(batches: Iterator[pa.RecordBatch]):
         lat, decode = Lattices(shared.value), Decoder(shared.value.spelled)
-        for b in blocks(batches, "text", 1 << 20):
-            data, off = texts(column(b, "text"))
-            drawn = sample_block(lat, data, off, column(b, "key").to_numpy().view(_U), k)
-            row, number, ids, logp, inclusion, same = [], [], [], [], [], []
-            for i, draws in enumerate(drawn):
-                own = data[off[i] : off[i + 1]]
-                for j, d in enumerate(draws):
-                    x = piece_ids(lat, d.edges, own)
-                    row.append(i)
-                    number.append(j)
-                    ids.append(x)
-                    logp.append(d.logp)
-                    inclusion.append(d.inclusion)
-                    if digest:
-                        same.append(decode(x) == own.tobytes())
-            size = np.array([len(x) for x in ids], np.int64)
-            out = [column(b, "id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32())]
-            if digest:
-                out += [pa.array(size), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array(same, pa.bool_())]
-            else:
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat, pa.int32())))
-            yield pa.RecordBatch.from_arrays([*out, pa.array(logp, pa.float64()), pa.array(inclusion, pa.float64())], ["id", "sample", *(["n_pieces", "ids_sha256", "round_trip"] if digest else ["ids"]), "logp", "inclusion"])
+        for b in blocks(batches, "text", TEXT_BYTES):
+            yield one_block(lat, decode, b)
 
     middle = "n_pieces long, ids_sha256 string, round_trip boolean" if digest else "ids array<int>"
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, sample int, {middle}, logp double, inclusion double")
