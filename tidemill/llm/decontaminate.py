@@ -23,8 +23,9 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 << 20
 
 _NEW = ("n_words", "hits", "n_hit", "items", "n_items", "contaminated")
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of anything but [\x00-\x2F\x3A-\x60\x7B-\x7F], and of that or A-Z; Java looks single characters up in a table, but tries ranges one by one.
+_WORD = rf"[{string.ascii_lowercase}{string.digits}\x80-\x{{10FFFF}}]+"
+_WORD_ANY_CASE = rf"[{string.ascii_letters}{string.digits}\x80-\x{{10FFFF}}]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,9 +63,9 @@ def phrase_windows(items: DataFrame, id_col: str, text_col: str, width: int = WI
 
 
 def vocabulary(windows: DataFrame) -> DataFrame:
-    """(term_id, term, key), written: the distinct words of the windows; key joins words whatever their case."""
+    """(term_id, term, key, ascii), written: the distinct words of the windows; key joins words whatever their case, ascii says whether all bytes are below 128."""
     terms = windows.select(F.explode("w").alias("term")).distinct()
-    return write_table(terms.select(F.monotonically_increasing_id().alias("term_id"), "term", F.lower("term").alias("key")), "vocabulary")
+    return write_table(terms.select(F.monotonically_increasing_id().alias("term_id"), "term", F.lower("term").alias("key"), (F.length("term") == F.octet_length("term")).alias("ascii")), "vocabulary")
 
 
 def store_postings(rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -73,7 +74,9 @@ def store_postings(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     doc is the row's number, so that rows that share an id stay apart.
     """
     tokens = rows.select(F.col("_row").alias("doc"), F.posexplode(_raw_words(F.col("text"))).alias("pos", "word"))
-    hit = tokens.withColumn("key", F.lower("word")).join(_small(vocab), "key").filter(ascii_lower(F.col("word")) == F.col("term"))
+    # other characters that are lower-cased to A-Z (the Kelvin sign) are of more bytes
+    same = F.when(F.col("ascii"), F.octet_length("word") == F.octet_length("term")).otherwise(ascii_lower(F.col("word")) == F.col("term"))
+    hit = tokens.withColumn("key", F.lower("word")).join(_small(vocab), "key").filter(same)
     return write_table(hit.select("doc", "term_id", "pos"), "postings")
 
 
