@@ -320,6 +320,39 @@ def test_passages_with_changed_words_at_their_ends(changed):
     assert substring_dedup.passages(x, y, (0, 45, 0, 45), [], s) == ([(0, 45, 0, 45)] if alike else [])
 
 
+def test_classes_with_partners_of_their_own_are_linked(spark, tmp_path):
+    rng, docs, links = random.Random(7), [], []
+    for c in range(60):  # each version is alike with the next one only
+        chain = [[f"c{c}w{i}" for i in range(50)]]
+        for k in range(5):
+            chain.append(list(chain[-1]))
+            chain[-1][rng.randrange(6, 44)] = f"c{c}n{k}"
+        docs += [(c * 10 + k, " ".join(x)) for k, x in enumerate(chain)]
+        links += [(c * 10 + k, c * 10 + k + 1) for k in range(5)]
+    rng.shuffle(docs)
+    got = substring_dedup.repeated_passages(file_frame(spark, tmp_path, docs), substring_dedup.Setup(meet=2)).collect()
+    root = list(range(600))
+    p, q = (np.array(x) for x in zip(*((r["id"], r["other_id"]) for r in got), strict=True))
+    substring_dedup.forest(root, p, q)
+    p, q = (np.array(x) for x in zip(*links, strict=True))
+    assert not len(substring_dedup.forest(root, p, q))
+
+
+def test_pairs_that_may_be_alike_are_given_beside_a_failing_one():
+    s, rng = substring_dedup.Setup(), np.random.default_rng(3)
+    x = rng.integers(1, 1 << 32, 91, dtype=np.uint32)
+    y = np.concatenate([x[:40], rng.integers(1, 1 << 32, 1, dtype=np.uint32), x[40:90]])  # one shingle more: at no place the same on both sides
+    y[45] = x[45]
+    near = np.array([x, y, np.where(np.arange(91) == 3, 7, y)], np.uint32)
+    pairs = substring_dedup.pairs_of_list(near, np.zeros(3, int), np.arange(3), np.arange(3), lambda p, q: np.arange(len(p)), s)
+    assert {frozenset(x) for p, q in pairs for x in zip(p.tolist(), q.tolist(), strict=True)} >= {frozenset((1, 2))}
+    assert substring_dedup.sure_passages(near[[1, 1]], near[[2, 1]], s).all()
+    few = x.copy()
+    few[[20, 25, 30, 50, 60, 70, 80]] = np.arange(1, 8)
+    brute = [any(len(a & b) * 100 >= 80 * len(a | b) for i in range(46) for a, b in [(set(x[i : i + 46]), set(few[i : i + 46]))])]
+    assert substring_dedup.sure_passages(x[None], few[None], s).tolist() == brute
+
+
 def test_one_function_that_joins_is_enough(spark, tmp_path):
     rng = random.Random(6)
     say = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
