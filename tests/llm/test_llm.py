@@ -353,6 +353,35 @@ def test_pairs_that_may_be_alike_are_given_beside_a_failing_one():
     assert substring_dedup.sure_passages(x[None], few[None], s).tolist() == brute
 
 
+def test_a_shingle_that_repeats_itself_counts_once():
+    """Texts of repeated words, as junk is: all windows of alike passages are given, few others."""
+    s, rng = substring_dedup.Setup(words=12, width=3), random.Random(11)
+    k = s.least
+    given = alike = tried = 0
+    for _ in range(12):
+        docs = []
+        for _ in range(6):
+            x = [n + 1 for n in rng.sample(range(9), 3) for _ in range(rng.choice((3, 4, 14)))]
+            x[len(x) // 2] = 1
+            docs.append(np.array(x, np.uint32) * np.uint32(0x10624DD3) | np.uint32(1))
+        at = np.array([len(x) // 2 for x in docs])
+        right = np.array([len(x) for x in docs]) - 1 - at
+        flat, first = np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])
+        step = np.arange(1 - k, k)
+        near = flat[np.clip((first + at)[:, None] + step, 0, len(flat) - 1)]
+        near[(step < -at[:, None]) | (step > right[:, None])] = 0
+        far = substring_dedup.beyond(flat, first + at, at, right, near, k - 1)
+        n = len(docs)
+        pairs = substring_dedup.like_surroundings(near, far, np.zeros(n, int), np.arange(n), np.ones(n, bool), np.arange(n), lambda p, q: np.arange(len(p)), s)
+        got = {x for p, q in pairs for x in zip(p.tolist(), q.tolist(), strict=True)}
+        runs = [{frozenset(x[f:t].tolist()) for f in range(c + 1) for t in range(max(c + 1, f + k), len(x) + 1)} for x, c in zip(docs, at, strict=True)]
+        fits = [(i, j) for i in range(n) for j in range(i) if min(at[i], at[j]) + min(right[i], right[j]) + 1 >= k]
+        want = {(j, i) for i, j in fits if any(100 * len(a & b) >= s.percent * len(a | b) for a in runs[i] for b in runs[j])}
+        assert got >= want
+        given, alike, tried = given + len(got & {(j, i) for i, j in fits}), alike + len(want), tried + len(fits)
+    assert alike >= 10 and given <= alike + tried // 10
+
+
 def test_one_function_that_joins_is_enough(spark, tmp_path):
     rng = random.Random(6)
     say = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
