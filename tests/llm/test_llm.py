@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import time
 from collections import Counter, defaultdict
 
@@ -264,6 +265,24 @@ def test_compact_windows_partition_all_subsequences():
                     assert len(own) == 1 and own[0][1] == m
 
 
+def test_windows_of_texts_that_repeat_themselves(spark, tmp_path):
+    """No step for each repeat; windows at one distance are joined to one row."""
+    n, least = 1 << 14, 46
+    v, calls = np.arange(n, dtype=np.uint64), []
+    trace = lambda frame, event, arg: calls.append(event) if event == "c_call" else None
+    sys.setprofile(trace)
+    try:
+        lo, c, hi = substring_dedup.compact_windows(v, np.array([0, n]), least)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < n // 4
+    assert lo.tolist() == c.tolist() == list(range(n - least + 1)) and set(hi.tolist()) == {n}
+    s = substring_dedup.Setup()
+    rows = spark.createDataFrame([(0, "la " * 300), (1, "la " * 200)], "row long, text string")
+    joined = substring_dedup.join_windows(substring_dedup.post_windows(rows, s).selectExpr("*", "-1L as tile"), s).filter("kind = 0").collect()
+    assert joined and len({(r["key"], r["a"], r["b"], r["a_from"] - r["b_from"]) for r in joined}) == len(joined)
+
+
 def test_repeated_passages(spark, tmp_path):
     rng = random.Random(9)
     say = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
